@@ -7,14 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from . import sql
+from .bpe import bpe_encode
 from .common import table
 from .exact_dedup import exact_groups
 from .mix import mix_taken
+from .tiff import tiff_read, tiff_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The rank file that op10 encodes by; read on the driver and broadcast.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def rank_file(path: str = RANKS) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select(F.struct("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).alias("key"), "text")
+    read = tiff_read(tiff_store(docs, "key"), "doc_id")
+    payload = F.aggregate("pages", F.lit(b""), lambda done, page: F.concat(done, page["samples"]))
+    read = read.select("doc_id.*", "media", "pages", payload.alias("payload"))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.expr("crc32(substring(payload, -16, 16))").alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.array_join("pages.feature", ";").alias("feature"),
+        F.size("pages").alias("n_pages"),
+    )
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_taken(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -25,10 +57,17 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe_encode(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_tiff_pages": op1_tiff_pages,
         "op2_mix_sources": op2_mix_sources,
         "op3_exact_dedup": op3_exact_dedup,
+        "op10_byte_bpe": op10_byte_bpe,
     }
 
 
