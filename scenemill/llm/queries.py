@@ -14,6 +14,7 @@ from .bpe import bpe_encode
 from .common import table
 from .exact_dedup import exact_groups
 from .mix import mix_taken
+from .ngram_join import ngram_join
 from .tiff import tiff_read, tiff_store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe_encode(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -67,6 +72,7 @@ def queries() -> dict[str, Query]:
         "op1_tiff_pages": op1_tiff_pages,
         "op2_mix_sources": op2_mix_sources,
         "op3_exact_dedup": op3_exact_dedup,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
