@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from typing import Any
+
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +60,18 @@ def bounded_join(
     right = right.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = salted[key].eqNullSafe(right["__key"]) & (F.col("__salt") == F.col("__salt2"))
     return salted.join(right, on, how).drop("__key", "__salt", "__salt2")
+
+
+class Shared:
+    """A broadcast value of bounded size with an id that worker processes can keep what they build from it by."""
+
+    def __init__(self, held: Broadcast):
+        self.held, self.id = held, uuid.uuid4().hex
+
+    @property
+    def value(self) -> Any:
+        return self.held.value
+
+
+def shared_value(spark: SparkSession, value: Any) -> Shared:
+    return Shared(spark.sparkContext.broadcast(value))

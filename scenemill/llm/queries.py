@@ -16,6 +16,8 @@ from .exact_dedup import exact_groups
 from .mix import mix_taken
 from .ngram_join import ngram_join
 from .tiff import tiff_read, tiff_store
+from .toxicity import toxicity, train
+from .wordpiece import sentencepiece_vocabulary, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +64,29 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+#: The SentencePiece model whose pieces op8 takes as a word-piece vocabulary.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), *sentencepiece_vocabulary(PIECES))
+
+
+#: The chain of op9. The labels have one column on toxicity and one on quality; junk is told first.
+CATEGORIES = ["low_quality", "toxic"]
+
+
+def toxic_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, p_low_quality, p_toxic and toxic of ``docs``, by a chain trained on the labelled documents."""
+    labels = table(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    chain = train(table(spark, sf_dir, "documents"), labels, CATEGORIES)
+    return toxicity(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe_encode(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -73,6 +98,8 @@ def queries() -> dict[str, Query]:
         "op2_mix_sources": op2_mix_sources,
         "op3_exact_dedup": op3_exact_dedup,
         "op7_ngram_jaccard": op7_ngram_jaccard,
+        "op8_token_counts": op8_token_counts,
+        "op9_toxicity_chain": op9_toxicity_chain,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
