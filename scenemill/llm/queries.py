@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import sql
+from . import crf, sql
 from .bpe import bpe_encode
 from .common import table
 from .exact_dedup import exact_groups
@@ -17,6 +17,7 @@ from .mix import mix_taken
 from .ngram_join import ngram_join
 from .tiff import tiff_read, tiff_store
 from .toxicity import toxicity, train
+from .training import crc
 from .wordpiece import sentencepiece_vocabulary, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +61,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc(F.col("doc_id")) % 3 == 1
+    field = crf.train(docs, labels, keep=~held_out)
+    scored = crf.quality(docs, field)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("lines").alias("n_lines"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -97,6 +106,7 @@ def queries() -> dict[str, Query]:
         "op1_tiff_pages": op1_tiff_pages,
         "op2_mix_sources": op2_mix_sources,
         "op3_exact_dedup": op3_exact_dedup,
+        "op6_quality_crf": op6_quality_crf,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_token_counts": op8_token_counts,
         "op9_toxicity_chain": op9_toxicity_chain,
