@@ -234,5 +234,5 @@ def ngram_join(
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose id is the least of its near-duplicate group."""
     kept = ngram_join(docs, id_col, text_col, threshold, recall, words).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = kept.select(F.col("doc_id").alias("__id")).distinct()
+    kept = kept.select(F.col("doc_id").alias("__id"))
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")

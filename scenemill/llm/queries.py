@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
 from . import crf, sql
 from .bpe import bpe_encode
-from .common import table
+from .common import staged, table
 from .exact_dedup import exact_groups
+from .html_text import main_text
 from .mix import mix_taken
 from .ngram_join import ngram_join
 from .tiff import tiff_read, tiff_store
-from .toxicity import toxicity, train
+from .toxicity import Chain, toxicity, train
 from .training import crc
+from .warc_fixity import FILE_RECORDS, differing, hashed_records, roots, tree
 from .wordpiece import sentencepiece_vocabulary, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +63,33 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def decayed(html: Column, key: Column) -> Column:
+    """A replica's body: in one of 50, by key, a character is overwritten by as many bytes."""
+    turn = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    at = (turn % F.greatest(F.length(html), F.lit(1))).cast("int")
+    found = F.substring(html, at + 1, F.lit(1))
+    faulty = F.when(found == "~", "^").otherwise(F.repeat(F.lit("~"), F.octet_length(found)))
+    flipped = F.concat(F.substring(html, F.lit(1), at), faulty, F.substring(html, at + 2, F.length(html)))
+    return F.when(turn % 50 == 0, flipped).otherwise(html)
+
+
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the pages laid out as WARC files, and what the audit of a decayed replica says of it."""
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.coalesce("html", F.lit("")))
+    key, file = F.col("page_id"), F.floor(F.col("page_id") / FILE_RECORDS)
+    good = staged(hashed_records(pages, key, file, F.col("url"), F.col("html")), "warc-a")
+    bad = staged(hashed_records(pages, key, file, F.col("url"), decayed(F.col("html"), key)), "warc-b")
+    levels = tree(good)
+    faults = differing(levels, tree(bad))[-1].select("file", "place", F.col("b.hash").alias("replica_sha256"))
+    out = good.join(faults, ["file", "place"], "left").join(roots(levels), "file")
+    return out.select(F.col("key").alias("page_id"), "file", "place", "start", "end", F.col("hash").alias("sha256"), F.col("replica_sha256").isNull().alias("intact"), "replica_sha256", "root")
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc(F.col("doc_id")) % 3 == 1
@@ -85,15 +114,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 CATEGORIES = ["low_quality", "toxic"]
 
 
-def toxic_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic and toxic of ``docs``, by a chain trained on the labelled documents."""
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> Chain:
+    """A chain trained on the labelled documents."""
     labels = table(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
-    chain = train(table(spark, sf_dir, "documents"), labels, CATEGORIES)
-    return toxicity(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return train(table(spark, sf_dir, "documents"), labels, CATEGORIES)
 
 
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxic_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    scored = toxicity(table(spark, sf_dir, "documents"), toxicity_chain(spark, sf_dir))
+    return scored.withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +135,8 @@ def queries() -> dict[str, Query]:
         "op1_tiff_pages": op1_tiff_pages,
         "op2_mix_sources": op2_mix_sources,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_warc_fixity": op4_warc_fixity,
+        "op5_main_text": op5_main_text,
         "op6_quality_crf": op6_quality_crf,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_token_counts": op8_token_counts,
@@ -115,4 +146,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": sql.MIX, "op3_exact_dedup": sql.EXACT}
+    return {"op2_mix_sources": sql.MIX, "op3_exact_dedup": sql.EXACT, "op4_warc_fixity": sql.FIXITY}

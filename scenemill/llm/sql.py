@@ -50,3 +50,30 @@ MIX = (
     + MIX_STEPS.format(docs="documents")
     + "SELECT doc_id, size, source_size, target, (size * times)::BIGINT AS taken FROM mixed"
 )
+
+#: Trees of two levels over files of up to 256 records; the replica's records are hashed for themselves.
+FIXITY = r"""
+WITH p AS (
+  SELECT page_id, page_id // 256 AS file, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         ('0x' || substr(md5(coalesce(page_id::VARCHAR, '')), 1, 8))::BIGINT AS turn
+  FROM pages),
+f AS (SELECT *, (turn % greatest(length(html), 1))::INTEGER AS pos, substr(html, pos + 1, 1) AS found FROM p),
+w AS (
+  SELECT page_id, file, html AS a,
+         CASE WHEN turn % 50 = 0 THEN substr(html, 1, pos) || CASE WHEN found = '~' THEN '^' ELSE repeat('~', strlen(found)) END || substr(html, pos + 2)
+              ELSE html END AS b,
+         chr(13) || chr(10) AS nl, 'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Length: ' AS head
+  FROM f),
+h AS (SELECT page_id, file, head || strlen(a) || nl || nl || a || nl || nl AS ra, head || strlen(b) || nl || nl || b || nl || nl AS rb FROM w),
+placed AS (
+  SELECT page_id, file, row_number() OVER o - 1 AS place, (sum(strlen(ra)) OVER o)::BIGINT AS "end", strlen(ra) AS length, sha256(ra) AS sha256, sha256(rb) AS b_sha256
+  FROM h WINDOW o AS (PARTITION BY file ORDER BY page_id ROWS UNBOUNDED PRECEDING)),
+one AS (
+  SELECT file, place // 16 AS up, min("end" - length) AS start, max("end") AS "end",
+         sha256(string_agg(("end" - length) || ' ' || "end" || ' ' || sha256, chr(10) ORDER BY place)) AS hash
+  FROM placed GROUP BY file, up),
+two AS (SELECT file, sha256(string_agg(start || ' ' || "end" || ' ' || hash, chr(10) ORDER BY up)) AS root FROM one GROUP BY file)
+SELECT page_id, file, place, "end" - length AS start, "end", sha256, sha256 = b_sha256 AS intact,
+       CASE WHEN sha256 <> b_sha256 THEN b_sha256 END AS replica_sha256, root
+FROM placed JOIN two USING (file)
+"""

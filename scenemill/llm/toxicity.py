@@ -104,17 +104,25 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int =
     return Chain.fit(categories, got.column("doc_id").to_pylist(), x, np.column_stack([got.column(c).to_numpy().astype(float) for c in categories]))
 
 
-def toxicity(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and a probability p_<category> for every category of the chain."""
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([read.schema["doc_id"], *(T.StructField(f"p_{c}", T.DoubleType()) for c in model.categories)])
+def with_toxicity(docs: DataFrame, model: Chain, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, and a probability p_<category> for every category of the chain."""
+    names = [f"p_{c}" for c in model.categories]
+    read = docs.drop(*names)
+    place = read.columns.index(text_col)
+    schema = T.StructType([*read.schema, *(T.StructField(n, T.DoubleType()) for n in names)])
     shared = shared_value(docs.sparkSession, model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                scores = shared.value.scores(Sparse.of([features(t) for t in part.column(1).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(s) for s in scores.T)], schema.names)
+                scores = shared.value.scores(Sparse.of([features(t) for t in part.column(place).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(s) for s in scores.T)], schema.names)
 
     return read.mapInArrow(scored, schema)
+
+
+def toxicity(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and a probability p_<category> for every category of the chain."""
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return with_toxicity(read, model).drop("text")
