@@ -160,7 +160,8 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float, words: int) -
     """node, links, root by pair of blocks; groups: node, doc_id, digest, grams, root."""
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("total"))
     members = groups.join(sizes, "root").withColumnRenamed("doc_id", "__id")
-    texts = docs.join(members, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "digest", "node", "root", "n", "total")
+    # dealt out by id at every size: the members grow with the input, so they are no side to broadcast
+    texts = docs.hint("merge").join(members, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "digest", "node", "root", "n", "total")
     schema = "node long, root long, n long, total long, grams binary"
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,4 +236,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs``, with all their columns, whose id is the least of its near-duplicate group."""
     kept = ngram_join(docs, id_col, text_col, threshold, recall, words).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     kept = kept.select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    return docs.hint("merge").join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
