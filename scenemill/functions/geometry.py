@@ -1,14 +1,17 @@
 """Rigid-body and camera geometry as Column algebra.
 
-Vectors are structs (x, y, z), quaternions (w, x, y, z), sizes (w, l, h), poses (t: vector, q:
-quaternion) and intrinsics (fx, fy, cx, cy). Everything stays in generated code; there are no UDFs.
+Columns of vectors are structs (x, y, z), of quaternions (w, x, y, z), sizes (w, l, h), poses (t: vector, q:
+quaternion) and intrinsics (fx, fy, cx, cy). Functions take such columns or their components (Vec, Quat,
+Pose) and give components, whose ``struct`` is a column again. Everything stays in generated code; there
+are no UDFs. Results of one step that others use more than once are best made columns of their own.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Depth at or below which a point counts as behind the camera.
@@ -25,72 +28,116 @@ def unix_ns(ts: Column, base: Column) -> Column:
     return F.when(base.isin("unix_us", "unix_ns"), ns).otherwise(F.raise_error(F.concat(F.lit("unknown time base "), base)).cast("long"))
 
 
-def vec(x: Column, y: Column, z: Column) -> Column:
-    return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+class Vec(NamedTuple):
+    """Components of a vector. Kept apart until ``struct``: a field of a struct expression would repeat the whole struct."""
 
+    x: Column
+    y: Column
+    z: Column
 
-def quat(w: Column, x: Column, y: Column, z: Column) -> Column:
-    return F.struct(w.alias("w"), x.alias("x"), y.alias("y"), z.alias("z"))
+    @property
+    def struct(self) -> Column:
+        return F.struct(*(c.alias(n) for n, c in zip("xyz", self)))
 
 
-def add(a: Column, b: Column) -> Column:
-    return vec(a["x"] + b["x"], a["y"] + b["y"], a["z"] + b["z"])
+class Quat(NamedTuple):
+    """Components of a quaternion."""
 
+    w: Column
+    x: Column
+    y: Column
+    z: Column
 
-def subtract(a: Column, b: Column) -> Column:
-    return vec(a["x"] - b["x"], a["y"] - b["y"], a["z"] - b["z"])
+    @property
+    def struct(self) -> Column:
+        return F.struct(*(c.alias(n) for n, c in zip("wxyz", self)))
 
 
-def scale(a: Column, k: Column | float) -> Column:
-    return vec(a["x"] * k, a["y"] * k, a["z"] * k)
+class Pose(NamedTuple):
+    t: Vec
+    q: Quat
 
+    @property
+    def struct(self) -> Column:
+        return F.struct(self.t.struct.alias("t"), self.q.struct.alias("q"))
 
-def cross(a: Column, b: Column) -> Column:
-    return vec(a["y"] * b["z"] - a["z"] * b["y"], a["z"] * b["x"] - a["x"] * b["z"], a["x"] * b["y"] - a["y"] * b["x"])
 
+def vec(a: Column | Vec) -> Vec:
+    """The components of a struct column (x, y, z)."""
+    return a if isinstance(a, Vec) else Vec(*(a[c] for c in "xyz"))
 
-def dot(a: Column, b: Column) -> Column:
-    return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
 
+def quat(q: Column | Quat) -> Quat:
+    return q if isinstance(q, Quat) else Quat(*(q[c] for c in "wxyz"))
 
-def length(a: Column) -> Column:
+
+def pose(p: Column | Pose) -> Pose:
+    return p if isinstance(p, Pose) else Pose(vec(p["t"]), quat(p["q"]))
+
+
+def add(a: Column | Vec, b: Column | Vec) -> Vec:
+    return Vec(*(x + y for x, y in zip(vec(a), vec(b))))
+
+
+def subtract(a: Column | Vec, b: Column | Vec) -> Vec:
+    return Vec(*(x - y for x, y in zip(vec(a), vec(b))))
+
+
+def scale(a: Column | Vec, k: Column | float) -> Vec:
+    return Vec(*(x * k for x in vec(a)))
+
+
+def cross(a: Column | Vec, b: Column | Vec) -> Vec:
+    a, b = vec(a), vec(b)
+    return Vec(a.y * b.z - a.z * b.y, a.z * b.x - a.x * b.z, a.x * b.y - a.y * b.x)
+
+
+def dot(a: Column | Vec, b: Column | Vec) -> Column:
+    a, b = vec(a), vec(b)
+    return a.x * b.x + a.y * b.y + a.z * b.z
+
+
+def length(a: Column | Vec) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def quat_norm(q: Column) -> Column:
-    return F.sqrt(q["w"] * q["w"] + q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"])
+def quat_norm(q: Column | Quat) -> Column:
+    q = quat(q)
+    return F.sqrt(q.w * q.w + q.x * q.x + q.y * q.y + q.z * q.z)
 
 
-def unit(q: Column, least: float = 1e-6) -> Column:
+def unit(q: Column | Quat, least: float = 1e-6) -> Quat:
     """The quaternion over its norm; one that is nearly zero raises."""
     n = quat_norm(q)
     n = F.when(n < least, F.raise_error(F.lit("a quaternion has no direction")).cast("double")).otherwise(n)
-    return quat(q["w"] / n, q["x"] / n, q["y"] / n, q["z"] / n)
+    return Quat(*(c / n for c in quat(q)))
 
 
-def conjugate(q: Column) -> Column:
-    return quat(q["w"], -q["x"], -q["y"], -q["z"])
+def conjugate(q: Column | Quat) -> Quat:
+    q = quat(q)
+    return Quat(q.w, -q.x, -q.y, -q.z)
 
 
-def quat_product(a: Column, b: Column) -> Column:
-    return quat(
-        a["w"] * b["w"] - a["x"] * b["x"] - a["y"] * b["y"] - a["z"] * b["z"],
-        a["w"] * b["x"] + a["x"] * b["w"] + a["y"] * b["z"] - a["z"] * b["y"],
-        a["w"] * b["y"] - a["x"] * b["z"] + a["y"] * b["w"] + a["z"] * b["x"],
-        a["w"] * b["z"] + a["x"] * b["y"] - a["y"] * b["x"] + a["z"] * b["w"],
+def quat_product(a: Column | Quat, b: Column | Quat) -> Quat:
+    a, b = quat(a), quat(b)
+    return Quat(
+        a.w * b.w - a.x * b.x - a.y * b.y - a.z * b.z,
+        a.w * b.x + a.x * b.w + a.y * b.z - a.z * b.y,
+        a.w * b.y - a.x * b.z + a.y * b.w + a.z * b.x,
+        a.w * b.z + a.x * b.y - a.y * b.x + a.z * b.w,
     )
 
 
-def canonical(q: Column) -> Column:
+def canonical(q: Column | Quat) -> Quat:
     """Of the two quaternions of a rotation, the one with w >= 0."""
-    sign = F.when(q["w"] < 0, -1.0).otherwise(1.0)
-    return quat(q["w"] * sign, q["x"] * sign, q["y"] * sign, q["z"] * sign)
+    q = quat(q)
+    sign = F.when(q.w < 0, -1.0).otherwise(1.0)
+    return Quat(*(c * sign for c in q))
 
 
-def rotation_matrix(q: Column) -> Column:
+def rotation_matrix(q: Column | Quat) -> Column:
     """Rows of the rotation, as a struct r00 to r22."""
-    u = unit(q)
-    w, x, y, z = (u[c] for c in "wxyz")
+    w, x, y, z = unit(q)
     entries = (
         (1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)),
         (2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)),
@@ -99,11 +146,12 @@ def rotation_matrix(q: Column) -> Column:
     return F.struct(*(e.alias(f"r{i}{j}") for i, row in enumerate(entries) for j, e in enumerate(row)))
 
 
-def rotate(q: Column, v: Column) -> Column:
+def rotate(q: Column | Quat, v: Column | Vec) -> Vec:
     """v turned by the (unit) quaternion: v + 2w(u x v) + 2u x (u x v)."""
-    u = vec(q["x"], q["y"], q["z"])
+    q = quat(q)
+    u = Vec(q.x, q.y, q.z)
     t = scale(cross(u, v), 2.0)
-    return add(add(v, scale(t, q["w"])), cross(u, t))
+    return add(add(v, scale(t, q.w)), cross(u, t))
 
 
 def wrap(angle: Column) -> Column:
@@ -112,44 +160,52 @@ def wrap(angle: Column) -> Column:
     return F.when(turned == F.lit(-math.pi), F.lit(math.pi)).otherwise(turned)
 
 
-def yaw_of(q: Column) -> Column:
+def yaw_of(q: Column | Quat) -> Column:
     u = unit(q)
-    return wrap(F.atan2(2 * (u["w"] * u["z"] + u["x"] * u["y"]), 1 - 2 * (u["y"] * u["y"] + u["z"] * u["z"])))
+    return wrap(F.atan2(2 * (u.w * u.z + u.x * u.y), 1 - 2 * (u.y * u.y + u.z * u.z)))
 
 
-def quat_of_yaw(yaw: Column) -> Column:
-    return quat(F.cos(yaw / 2), F.lit(0.0), F.lit(0.0), F.sin(yaw / 2))
+def quat_of_yaw(yaw: Column) -> Quat:
+    return Quat(F.cos(yaw / 2), F.lit(0.0), F.lit(0.0), F.sin(yaw / 2))
 
 
-def transform(pose: Column, v: Column) -> Column:
+def transform(p: Column | Pose, v: Column | Vec) -> Vec:
     """From the pose's own frame to the frame it is given in."""
-    return add(rotate(unit(pose["q"]), v), pose["t"])
+    p = pose(p)
+    return add(rotate(unit(p.q), v), p.t)
 
 
-def inverse_transform(pose: Column, v: Column) -> Column:
-    return rotate(conjugate(unit(pose["q"])), subtract(v, pose["t"]))
+def inverse_transform(p: Column | Pose, v: Column | Vec) -> Vec:
+    p = pose(p)
+    return rotate(conjugate(unit(p.q)), subtract(v, p.t))
 
 
-def compose(outer: Column, inner: Column) -> Column:
+def compose(outer: Column | Pose, inner: Column | Pose) -> Pose:
     """The pose that applies inner, then outer."""
-    q = quat_product(unit(outer["q"]), unit(inner["q"]))
-    return F.struct(transform(outer, inner["t"]).alias("t"), q.alias("q"))
+    outer, inner = pose(outer), pose(inner)
+    return Pose(transform(outer, inner.t), quat_product(unit(outer.q), unit(inner.q)))
 
 
-def box_to_global(box: Column, pose: Column) -> Column:
+def box_to_global(box: Column, ego: Column | Pose) -> Column:
     """A box (t, q, size) of the ego frame in the global frame."""
-    q = canonical(quat_product(unit(pose["q"]), unit(box["q"])))
-    return F.struct(transform(pose, box["t"]).alias("t"), q.alias("q"), box["size"].alias("size"))
+    q = canonical(quat_product(unit(pose(ego).q), unit(box["q"])))
+    return F.struct(transform(ego, box["t"]).struct.alias("t"), q.struct.alias("q"), box["size"].alias("size"))
 
 
-def box_to_ego(box: Column, pose: Column) -> Column:
-    q = canonical(quat_product(conjugate(unit(pose["q"])), unit(box["q"])))
-    return F.struct(inverse_transform(pose, box["t"]).alias("t"), q.alias("q"), box["size"].alias("size"))
+def box_to_ego(box: Column, ego: Column | Pose) -> Column:
+    q = canonical(quat_product(conjugate(unit(pose(ego).q)), unit(box["q"])))
+    return F.struct(inverse_transform(ego, box["t"]).struct.alias("t"), q.struct.alias("q"), box["size"].alias("size"))
 
 
-def camera_point(point: Column, ego_at_scan: Column, ego_at_image: Column, camera: Column) -> Column:
-    """A point of the ego frame at scan time in the camera frame at image time, by way of the global frame."""
-    return inverse_transform(camera, inverse_transform(ego_at_image, transform(ego_at_scan, point)))
+def in_camera(rows: DataFrame, point: str, ego_at_scan: str, ego_at_image: str, camera: str, out: str = "camera_point") -> DataFrame:
+    """Adds the point, given in the ego frame at scan time, in the camera frame at image time.
+
+    The hops (ego, global, ego, camera) are columns of their own: as one expression each would repeat
+    the one before it many times over.
+    """
+    rows = rows.withColumn("__global", transform(F.col(ego_at_scan), F.col(point)).struct)
+    rows = rows.withColumn("__ego", inverse_transform(F.col(ego_at_image), F.col("__global")).struct)
+    return rows.withColumn(out, inverse_transform(F.col(camera), F.col("__ego")).struct).drop("__global", "__ego")
 
 
 def pixel(p: Column, k: Column, width: Column, height: Column, min_depth: float = MIN_DEPTH) -> Column:
@@ -170,9 +226,10 @@ def axis_cosine(p: Column) -> Column:
     return F.when(n > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), p["z"] / F.when(n > 0, n))))
 
 
-def slerp(a: Column, b: Column, t: Column, straight_above: float = 1 - 1e-9) -> Column:
+def slerp(a: Column | Quat, b: Column | Quat, t: Column, straight_above: float = 1 - 1e-9) -> Quat:
     """Between unit quaternions along the shorter arc; nearly equal ones are interpolated straight."""
-    d = a["w"] * b["w"] + a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
+    a, b = quat(a), quat(b)
+    d = a.w * b.w + a.x * b.x + a.y * b.y + a.z * b.z
     sign = F.when(d < 0, -1.0).otherwise(1.0)
     d = F.abs(d)
     straight = d > straight_above
@@ -180,7 +237,9 @@ def slerp(a: Column, b: Column, t: Column, straight_above: float = 1 - 1e-9) ->
     sine = F.when(straight, F.lit(1.0)).otherwise(F.sin(angle))
     wa = F.when(straight, 1 - t).otherwise(F.sin((1 - t) * angle) / sine)
     wb = F.when(straight, t).otherwise(F.sin(t * angle) / sine) * sign
-    return unit(quat(*(a[c] * wa + b[c] * wb for c in "wxyz")))
+    mixed = Quat(*(x * wa + y * wb for x, y in zip(a, b)))
+    n = quat_norm(mixed)
+    return Quat(*(c / n for c in mixed))
 
 
 def lerp(a: Column, b: Column, t: Column) -> Column:
@@ -189,19 +248,18 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
 
 def corners(center: Column, size: Column, q: Column) -> Column:
     """The eight corners of a box, as an array of vectors."""
-    at = [vec(size["l"] / 2 * i, size["w"] / 2 * j, size["h"] / 2 * k) for i in (1, -1) for j in (1, -1) for k in (1, -1)]
-    return F.transform(F.array(*at), lambda c: add(center, rotate(q, c)))
+    at = [Vec(size["l"] / 2 * i, size["w"] / 2 * j, size["h"] / 2 * k).struct for i in (1, -1) for j in (1, -1) for k in (1, -1)]
+    return F.transform(F.array(*at), lambda c: add(center, rotate(q, c)).struct)
 
 
-def local_point(p: Column, center: Column, q: Column) -> Column:
+def local_point(p: Column | Vec, center: Column | Vec, q: Column | Quat) -> Vec:
     """A point in a box's own frame."""
     return rotate(conjugate(q), subtract(p, center))
 
 
-def in_box(p: Column, center: Column, size: Column, q: Column, inclusive: bool) -> Column:
+def in_box(p: Column | Vec, center: Column | Vec, size: Column, q: Column | Quat, inclusive: bool) -> Column:
     """Whether a point lies in a box; points on the faces count if ``inclusive``."""
-    local = local_point(p, center, q)
-    sides = ((local["x"], size["l"]), (local["y"], size["w"]), (local["z"], size["h"]))
+    sides = zip(local_point(p, center, q), (size["l"], size["w"], size["h"]))
     tests = [F.abs(a) <= s / 2 if inclusive else F.abs(a) < s / 2 for a, s in sides]
     return tests[0] & tests[1] & tests[2]
 
@@ -238,9 +296,10 @@ def plane_tilt_deg(plane: Column) -> Column:
     return F.degrees(F.acos(F.least(F.lit(1.0), F.abs(plane["c"]))))
 
 
-def pitched(p: Column, pitch: Column, dz: Column | float = 0.0) -> Column:
+def pitched(p: Column | Vec, pitch: Column, dz: Column | float = 0.0) -> Vec:
     """A point turned in the x-z plane and lifted."""
-    return vec(p["x"] * F.cos(pitch) + p["z"] * F.sin(pitch), p["y"], p["z"] * F.cos(pitch) - p["x"] * F.sin(pitch) + dz)
+    p = vec(p)
+    return Vec(p.x * F.cos(pitch) + p.z * F.sin(pitch), p.y, p.z * F.cos(pitch) - p.x * F.sin(pitch) + dz)
 
 
 def sector(x: Column, y: Column, n: int) -> Column:
@@ -256,15 +315,14 @@ def settled_yaw(yaw: Column, velocity_x: Column, velocity_y: Column, previous: C
     return F.when(heading.isNull() | (away <= math.pi / 2), wrap(yaw)).otherwise(wrap(yaw + math.pi))
 
 
-def optical(q: Column) -> Column:
+def optical(q: Column | Quat) -> Quat:
     """A camera's body-frame rotation (x ahead, y left, z up) as one of its optical frame (z ahead, x right)."""
-    return canonical(quat_product(q, quat(F.lit(0.5), F.lit(-0.5), F.lit(0.5), F.lit(-0.5))))
+    return canonical(quat_product(q, Quat(F.lit(0.5), F.lit(-0.5), F.lit(0.5), F.lit(-0.5))))
 
 
-def is_optical(q: Column) -> Column:
+def is_optical(q: Column | Quat) -> Column:
     """Whether the frame's z axis lies nearer to the horizontal than to the vertical."""
-    up = rotate(unit(q), vec(F.lit(0.0), F.lit(0.0), F.lit(1.0)))["z"]
-    return F.abs(up) < 0.5
+    return F.abs(rotate(unit(q), Vec(F.lit(0.0), F.lit(0.0), F.lit(1.0))).z) < 0.5
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:

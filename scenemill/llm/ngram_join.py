@@ -34,7 +34,7 @@ THRESHOLD = 0.8
 #: Of pairs at the threshold, the share that meets in a band.
 RECALL = 0.9999
 #: Rows of a block of a bucket; rows and n-grams of a block of a candidate group.
-BUCKET_BLOCK, GROUP_BLOCK, GROUP_GRAMS = 1024, 512, 400_000
+BUCKET_BLOCK, GROUP_BLOCK, GROUP_GRAMS = 512, 512, 400_000
 SLICE, PAIRS = 256, 65_536
 
 
@@ -113,18 +113,32 @@ def candidate_edges(reps: DataFrame, least_equal: float) -> DataFrame:
         for t, starts in complete_groups(batches, 3):
             lo, hi, side, node = (t.column(c).to_numpy() for c in ("lo", "hi", "side", "node"))
             sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-            left, right = [], []
+            near_a, near_b, left, right, held = [], [], [], [], 0
+
+            def settle() -> None:
+                """Of the pairs held, those that are near; so few of all pairs are ever in memory."""
+                a, b = np.concatenate(left), np.concatenate(right)
+                for i in range(0, len(a), PAIRS):
+                    x, y = a[i : i + PAIRS], b[i : i + PAIRS]
+                    near = (sketches[x] == sketches[y]).sum(axis=1) >= least_equal
+                    near_a.append(x[near])
+                    near_b.append(y[near])
+                left.clear()
+                right.clear()
+
             for s, e in zip(starts[:-1], starts[1:]):
                 x, y = pairs_of(side[s:e], lo[s], hi[s])
-                left.append(x + s)
-                right.append(y + s)
-            a, b = np.concatenate(left), np.concatenate(right)
-            near = np.zeros(len(a), bool)
-            for i in range(0, len(a), PAIRS):
-                x, y = a[i : i + PAIRS], b[i : i + PAIRS]
-                near[i : i + PAIRS] = (sketches[x] == sketches[y]).sum(axis=1) >= least_equal
+                left.append((x + s).astype(np.int32))
+                right.append((y + s).astype(np.int32))
+                held += len(x)
+                if held >= PAIRS:
+                    settle()
+                    held = 0
+            if left:
+                settle()
+            a, b = np.concatenate(near_a), np.concatenate(near_b)
             # rows of different buckets have no pair, so one labelling serves all
-            root = local_components(t.num_rows, a[near], b[near])
+            root = local_components(t.num_rows, a, b)
             kept = np.flatnonzero(root != np.arange(t.num_rows))
             yield pa.RecordBatch.from_arrays([pa.array(node[kept]), pa.array(node[root[kept]])], ["a", "b"])
 

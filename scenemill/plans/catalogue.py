@@ -2,9 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import detection, evaluation, frames, grouped, integrity, labels, release, vectors  # noqa: F401  they register
+from .registry import ORACLES, QUERIES  # noqa: F401
