@@ -24,7 +24,7 @@ def together(rows: DataFrame, key: list[str], names: list[str], index: str = "pr
     """The opposite of apart(): arrays in the order of the index. A key's rows are one image's, so few."""
     packed = F.sort_array(F.collect_list(F.struct(index, *names)))
     out = rows.groupBy(*key).agg(packed.alias("__rows"))
-    return out.select(*key, *(F.transform("__rows", lambda r, n=n: r[n]).alias(n) for n in names))
+    return out.select(*key, *(F.col("__rows")[n].alias(n) for n in names))
 
 
 def phrase_scores(token_scores: Column, spans: Column, how: str = "mean") -> Column:

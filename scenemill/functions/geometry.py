@@ -9,6 +9,7 @@ are no UDFs. Results of one step that others use more than once are best made co
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -200,12 +201,18 @@ def box_to_ego(box: Column, ego: Column | Pose) -> Column:
 def in_camera(rows: DataFrame, point: str, ego_at_scan: str, ego_at_image: str, camera: str, out: str = "camera_point") -> DataFrame:
     """Adds the point, given in the ego frame at scan time, in the camera frame at image time.
 
-    The hops (ego, global, ego, camera) are columns of their own: as one expression each would repeat
-    the one before it many times over.
+    Each hop (ego, global, ego, camera) is a lambda over the point before it, which binds it once. As plain
+    expressions the hops would be put into each other, and a filter that is pushed below them would repeat
+    each many times over.
     """
-    rows = rows.withColumn("__global", transform(F.col(ego_at_scan), F.col(point)).struct)
-    rows = rows.withColumn("__ego", inverse_transform(F.col(ego_at_image), F.col("__global")).struct)
-    return rows.withColumn(out, inverse_transform(F.col(camera), F.col("__ego")).struct).drop("__global", "__ego")
+
+    def hop(at: Column, move: Callable[[Column, Column], Vec], frame: str) -> Column:
+        return F.transform(at, lambda p: move(F.col(frame), p).struct)
+
+    at = F.array(F.col(point))
+    for move, frame in ((transform, ego_at_scan), (inverse_transform, ego_at_image), (inverse_transform, camera)):
+        at = hop(at, move, frame)
+    return rows.withColumn(out, at[0])
 
 
 def pixel(p: Column, k: Column, width: Column, height: Column, min_depth: float = MIN_DEPTH) -> Column:
