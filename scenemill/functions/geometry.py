@@ -198,6 +198,11 @@ def box_to_ego(box: Column, ego: Column | Pose) -> Column:
     return F.struct(inverse_transform(ego, box["t"]).struct.alias("t"), q.struct.alias("q"), box["size"].alias("size"))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of a value that is computed once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def in_camera(rows: DataFrame, point: str, ego_at_scan: str, ego_at_image: str, camera: str, out: str = "camera_point") -> DataFrame:
     """Adds the point, given in the ego frame at scan time, in the camera frame at image time.
 
@@ -206,13 +211,17 @@ def in_camera(rows: DataFrame, point: str, ego_at_scan: str, ego_at_image: str,
     each many times over.
     """
 
-    def hop(at: Column, move: Callable[[Column, Column], Vec], frame: str) -> Column:
-        return F.transform(at, lambda p: move(F.col(frame), p).struct)
-
-    at = F.array(F.col(point))
-    for move, frame in ((transform, ego_at_scan), (inverse_transform, ego_at_image), (inverse_transform, camera)):
-        at = hop(at, move, frame)
-    return rows.withColumn(out, at[0])
+    def hop(at: Column, frame: str, forward: bool) -> Column:
+        p = pose(F.col(frame))
+        both = F.struct(at.alias("v"), unit(p.q).struct.alias("q"))
+        if forward:
+            return bound(both, lambda b: add(rotate(b["q"], b["v"]), p.t).struct)
+        return bound(both, lambda b: rotate(conjugate(b["q"]), subtract(b["v"], p.t)).struct)
+
+    at = F.col(point)
+    for frame, forward in ((ego_at_scan, True), (ego_at_image, False), (camera, False)):
+        at = hop(at, frame, forward)
+    return rows.withColumn(out, at)
 
 
 def pixel(p: Column, k: Column, width: Column, height: Column, min_depth: float = MIN_DEPTH) -> Column:

@@ -153,7 +153,7 @@ def _seen(spark: SparkSession, folder: str) -> DataFrame:
     seen = points.join(F.broadcast(cameras), "rig")
     seen = G.in_camera(seen.withColumn("scan", pose(c("drive"))).withColumn("image", pose(c("drive") + 0.5)), "point", "scan", "image", "camera", "p")
     k = F.struct(F.lit(40.0).alias("fx"), F.lit(42.0).alias("fy"), F.lit(50.0).alias("cx"), F.lit(30.0).alias("cy"))
-    return seen.withColumn("pixel", G.pixel(c("p"), k, F.lit(100), F.lit(60))).withColumn("cosine", F.round(G.axis_cosine(c("p")), 9))
+    return seen.withColumn("pixel", G.bound(c("p"), lambda p: F.struct(G.pixel(p, k, F.lit(100), F.lit(60)).alias("at"), F.round(G.axis_cosine(p), 9).alias("cosine")))).select("event_id", "n_nationkey", "pixel.at", "pixel.cosine")
 
 
 _SEEN = f"""
@@ -166,8 +166,8 @@ seen AS (SELECT *, 40.0::DOUBLE * px / pz + 50.0::DOUBLE AS u, 42.0::DOUBLE * py
 
 @query(f"WITH {_SEEN} SELECT event_id, n_nationkey, round(u, 6) AS u, round(v, 6) AS v, round(pz, 6) AS depth FROM seen WHERE u >= 0 AND u < 100 AND v >= 0 AND v < 60")
 def project_points(spark: SparkSession, folder: str) -> DataFrame:
-    out = _seen(spark, folder).where("pixel.in_image")
-    return out.select("event_id", "n_nationkey", *(F.round(f"pixel.{c}", 6).alias(c) for c in ("u", "v", "depth")))
+    out = _seen(spark, folder).where("at.in_image")
+    return out.select("event_id", "n_nationkey", *(F.round(f"at.{c}", 6).alias(c) for c in ("u", "v", "depth")))
 
 
 @query(f"""
@@ -175,7 +175,7 @@ WITH {_SEEN}
 SELECT event_id, arg_max(n_nationkey, (cosine, -n_nationkey)) AS n_nationkey, max(cosine) AS cosine FROM seen WHERE u >= 0 AND u < 100 AND v >= 0 AND v < 60 GROUP BY event_id
 """)
 def point_contest(spark: SparkSession, folder: str) -> DataFrame:
-    seen = _seen(spark, folder).where("pixel.in_image").select("event_id", "n_nationkey", "cosine")
+    seen = _seen(spark, folder).where("at.in_image").select("event_id", "n_nationkey", "cosine")
     return pairs.best_by_point(seen, ["event_id"], "cosine", "n_nationkey")
 
 
