@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -166,7 +167,7 @@ def _pair_iou(columns: list[pd.Series], rows) -> pd.Series:
     return pd.Series(rows(a, b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def oriented_iou(ax: pd.Series, ay: pd.Series, aw: pd.Series, al: pd.Series, ayaw: pd.Series, bx: pd.Series, by: pd.Series, bw: pd.Series, bl: pd.Series, byaw: pd.Series) -> pd.Series:
     """IoU of two footprints, by Arrow batch of pairs."""
     return _pair_iou([ax, ay, aw, al, ayaw, bx, by, bw, bl, byaw], ground_iou)
