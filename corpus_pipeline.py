@@ -54,7 +54,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("byte-level BPE encoding and decoding", encode),
 ]
 
-#: SQL can't express classifiers, similarity groups or merges; a test compares run() with a brute-force version.
+#: SQL can't express classifiers, similarity groups or merges; tests/llm checks the stages and operators.
 ORACLE_SQL = None
 
 
