@@ -1,4 +1,4 @@
-"""Order-dependent assignment and suppression: numpy over one group, and thin grouped-Arrow wrappers.
+"""Order-dependent assignment and suppression: folds over one group's array, or numpy where a matrix is needed.
 
 A group is an image, a keyframe or a scene, so it has a bound of its own; groups run in parallel.
 """
@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -100,20 +101,34 @@ def grouped(rows: DataFrame, keys: list[str], columns: dict[str, T.DataType], so
 
 
 def nms(rows: DataFrame, keys: list[str], order: list[str], same: float = 0.65, cross: float = 0.90, most: int = 300) -> DataFrame:
-    """Adds ``kept``, ``fate`` (kept, same_class, cross_class or over_cap) and ``rank`` to rows with x1..y2, score, name."""
+    """Adds ``kept``, ``fate`` (kept, same_class, cross_class or over_cap) and ``rank`` to rows with x1..y2, score, name.
 
-    def solve(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        names = pdf["name"].to_numpy(object)
-        turn, by = suppressed(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["score"].to_numpy(float), names, same, cross)
-        rank = np.empty(len(pdf), np.int32)
-        rank[turn] = np.arange(len(pdf))
-        kept = by < 0
-        standing = turn[kept[turn]]
-        fate = np.where(kept, "kept", np.where(names == names[np.maximum(by, 0)], "same_class", "cross_class")).astype(object)
-        fate[standing[most:]] = "over_cap"
-        return {"kept": fate == "kept", "fate": fate, "rank": rank}
-
-    return grouped(rows, keys, {"kept": T.BooleanType(), "fate": T.StringType(), "rank": T.IntegerType()}, solve, order)
+    A fold over each group's boxes, which come by falling score, then by box, name and ``order``: a box falls
+    to the first kept one that overlaps it by more than ``same`` (equal names) or ``cross``. Groups are images.
+    """
+    first = F.struct((-F.col("score")).alias("__s"), "x1", "y1", "x2", "y2", "name", *(c for c in order if c not in ("score", "x1", "y1", "x2", "y2", "name")))
+    turned = rows.withColumn("__turn", first).withColumn("__row", F.struct(*rows.columns))
+    packed = turned.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__turn", "__row"))).alias("__boxes"))
+    row_type = dict(turned.dtypes)["__row"]
+
+    def overlap(a: Column, b: Column) -> Column:
+        w, h = F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"])
+        common = F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
+        union = (a["x2"] - a["x1"]) * (a["y2"] - a["y1"]) + (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) - common
+        return F.when(union > 0, common / F.when(union > 0, union)).otherwise(0.0)
+
+    def step(done: Column, box: Column) -> Column:
+        mine = box["__row"]
+        beats = lambda k: (k["fate"] == "kept") & (overlap(k["row"], mine) > F.when(k["row"]["name"] == mine["name"], same).otherwise(cross))
+        by = F.filter(done, beats)
+        fate = F.when(F.size(by) == 0, "kept").when(F.try_element_at(by, F.lit(1))["row"]["name"] == mine["name"], "same_class").otherwise("cross_class")
+        return F.concat(done, F.array(F.struct(mine.alias("row"), fate.alias("fate"))))
+
+    folded = F.aggregate("__boxes", F.array().cast(f"array<struct<row:{row_type},fate:string>>"), step)
+    out = packed.select(F.posexplode(folded).alias("rank", "__out"), F.transform(folded, lambda k: k["fate"]).alias("__fates"))
+    standing = F.size(F.filter(F.slice("__fates", F.lit(1), F.col("rank")), lambda f: f == "kept"))
+    fate = F.when((F.col("__out.fate") == "kept") & (standing >= most), "over_cap").otherwise(F.col("__out.fate"))
+    return out.select("__out.row.*", fate.alias("fate"), "rank").withColumn("kept", F.col("fate") == "kept")
 
 
 def angular_nms(rows: DataFrame, keys: list[str], order: list[str], threshold: float = 0.5, same_class: bool = True, least_px: int = 16) -> DataFrame:
@@ -154,39 +169,34 @@ def greedy(score: np.ndarray, overlap: np.ndarray, threshold: float) -> np.ndarr
     return match
 
 
+def consumed(pairs: DataFrame, image: list[str], left: str, right: str, rank: list[Column]) -> DataFrame:
+    """Of an image's pairs in order of ``rank``, those whose two ends are both still free when their turn comes.
+
+    A fold over the image's pairs; the result has the pairs' columns.
+    """
+    ranked = pairs.withColumn("__turn", F.struct(*(c.alias(f"__{i}") for i, c in enumerate(rank)))).withColumn("__row", F.struct(*pairs.columns))
+    packed = ranked.groupBy(*image).agg(F.sort_array(F.collect_list(F.struct("__turn", "__row"))).alias("__pairs"))
+    none = F.array().cast(f"array<{dict(ranked.dtypes)['__row']}>")
+
+    def step(taken: Column, pair: Column) -> Column:
+        mine = pair["__row"]
+        clash = F.exists(taken, lambda t: (t[left] == mine[left]) | (t[right] == mine[right]))
+        return F.when(clash, taken).otherwise(F.concat(taken, F.array(mine)))
+
+    return packed.select(F.explode(F.aggregate("__pairs", none, step)).alias("__row")).select("__row.*")
+
+
 def greedy_matches(pairs: DataFrame, image: list[str], pred: str, gt: str, score: str, overlap: str, threshold: float, nearest: bool = False) -> DataFrame:
     """The pairs that greedy one-to-one matching takes, of candidate pairs with predictions' scores and overlaps.
 
     Predictions come by falling score, then number; each takes the free ground truth of most overlap (of
     least distance if ``nearest``) within the threshold, the least number among equals.
     """
-    sign = -1.0 if nearest else 1.0
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ok = pdf[sign * pdf[overlap] >= sign * threshold].assign(__o=lambda d: -sign * d[overlap], __s=lambda d: -d[score])
-        ok = ok.sort_values(["__s", pred, "__o", gt], kind="stable")
-        preds, gts, rows = set(), set(), []
-        for row, p, g in zip(ok.index, ok[pred], ok[gt]):
-            if p not in preds and g not in gts:
-                preds.add(p)
-                gts.add(g)
-                rows.append(row)
-        return pdf.loc[rows]
-
-    return pairs.groupBy(*image).applyInPandas(solve, pairs.schema)
+    near = F.col(overlap) if nearest else -F.col(overlap)
+    ok = pairs.where(F.col(overlap) <= threshold if nearest else F.col(overlap) >= threshold)
+    return consumed(ok, image, pred, gt, [-F.col(score), F.col(pred), near, F.col(gt)])
 
 
 def consumed_pairs(pairs: DataFrame, image: list[str], left: str, right: str, overlap: str) -> DataFrame:
     """Pairs sorted by falling overlap, then numbers, each consuming both its ends."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        lefts, rights, rows = set(), set(), []
-        ordered = pdf.assign(__o=-pdf[overlap]).sort_values(["__o", left, right], kind="stable")
-        for row, a, b in zip(ordered.index, ordered[left], ordered[right]):
-            if a not in lefts and b not in rights:
-                lefts.add(a)
-                rights.add(b)
-                rows.append(row)
-        return pdf.loc[rows]
-
-    return pairs.groupBy(*image).applyInPandas(solve, pairs.schema)
+    return consumed(pairs, image, left, right, [-F.col(overlap), F.col(left), F.col(right)])

@@ -1 +1,92 @@
-"""To come."""
+"""Queries on labels: vocabularies, phrases, replies, captions, tokens and parallel arrays."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import arrays, text
+from ..sources.tables import table
+from . import inputs
+from .registry import query
+
+
+@query("""
+SELECT event_type, CASE event_type WHEN 'view' THEN 'look' WHEN 'click' THEN 'act' WHEN 'purchase' THEN 'act' END AS resolved,
+       CASE WHEN event_type = 'error' THEN 'blocked' WHEN event_type IN ('view', 'click', 'purchase') THEN 'mapped' ELSE 'unmapped' END AS state, count(*) AS n FROM events GROUP BY ALL
+""")
+def category_normalise(spark: SparkSession, folder: str) -> DataFrame:
+    """Events by what a vocabulary says of their type, however the vocabulary is spelt."""
+    mapping = spark.createDataFrame([(" View ", "look"), ("CLICK", "act"), ("purchase", "act")], "name string, target string")
+    blocked = spark.createDataFrame([("Error",)], "name string")
+    out = text.resolve_categories(table(spark, folder, "events"), mapping, blocked, "event_type")
+    return out.groupBy("event_type", "resolved", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(trim(text), '^(?:a|an|the)\s+', '', 'i')) AS phrase FROM documents")
+def strip_article(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", F.md5(text.strip_article(F.col("text"))).alias("phrase"))
+
+
+@query(r"""
+WITH r AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'the view' ELSE event_type END AS own,
+                  '<think>' || event_type || ' {"label": "no"}</think> so {"label": "' || CASE WHEN event_id % 2 = 0 THEN 'The ' ELSE '' END || event_type || CASE WHEN event_id % 3 = 0 THEN ' (sure)' ELSE '' END || '"}' AS reply FROM events),
+l AS (SELECT event_id, own, json_extract_string(regexp_extract_all(regexp_replace(reply, '(?s)^.*</think>', ''), '(\{[^{}]*"label"[^{}]*\})', 1)[-1], '$.label') AS raw FROM r),
+s AS (SELECT event_id, own, regexp_replace(trim(regexp_replace(raw, '\s*\([^()]*\)\s*$', '')), '^(?:a|an|the)\s+', '', 'i') AS label FROM l)
+SELECT event_id, label, CASE WHEN lower(label) = regexp_replace(own, '^(?:a|an|the)\s+', '', 'i') THEN 'confirmed' WHEN label IN ('view', 'click') THEN 'relabeled' ELSE 'unclear' END AS verdict FROM s
+""")
+def parse_vlm_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies with thoughts, articles and asides, read and judged against the row's own class."""
+    even, third = F.when(F.col("event_id") % 2 == 0, "The ").otherwise(""), F.when(F.col("event_id") % 3 == 0, " (sure)").otherwise("")
+    reply = F.concat(F.lit("<think>"), "event_type", F.lit(' {"label": "no"}</think> so {"label": "'), even, "event_type", third, F.lit('"}'))
+    own = F.when(F.col("event_id") % 5 == 0, "the view").otherwise(F.col("event_type"))
+    rows = table(spark, folder, "events").select("event_id", own.alias("own"), text.reply_label(reply).alias("label"))
+    return rows.select("event_id", "label", text.verdict(F.col("label"), F.col("own"), F.array(F.lit("view"), F.lit("click"))).alias("verdict"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_path(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select("event_id", text.dug(F.col("props"), "k").alias("k"))
+
+
+@query("""
+WITH s AS (SELECT n_regionkey, n_nationkey, n_name, coalesce(sum(length(n_name) + 3) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM nation),
+c AS (SELECT n_regionkey, string_agg(n_name, ' . ' ORDER BY n_nationkey) AS caption FROM nation GROUP BY n_regionkey)
+SELECT n_nationkey, start, (start + length(n_name))::BIGINT AS stop, caption FROM s JOIN c USING (n_regionkey)
+""")
+def caption_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The nations of a region as one caption, with each one's span in it."""
+    rows = table(spark, folder, "nation")
+    spans = text.caption_spans(rows, ["n_regionkey"], "n_nationkey", "n_name")
+    return spans.join(text.captions(rows, ["n_regionkey"], "n_nationkey", "n_name"), "n_regionkey").select("n_nationkey", "start", "stop", "caption")
+
+
+@query("SELECT o_orderkey, md5('instance' || chr(31) || o_custkey || chr(31) || coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, 'None')) AS token FROM orders")
+def token_hash(spark: SparkSession, folder: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
+    return table(spark, folder, "orders").select("o_orderkey", text.token("instance", F.col("o_custkey"), status).alias("token"))
+
+
+@query("""
+SELECT l_orderkey, l_partkey, l_suppkey, array_to_string(list_sort(list_distinct(list_concat(range(l_linenumber, l_linenumber + 3), [l_quantity::BIGINT]))), ' ') AS numbers FROM lineitem
+""")
+def number_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
+    ranges = F.concat(n.cast("string"), F.lit("-"), (n + 2).cast("string"), F.lit(", "), q)
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.array_join(text.numbers_of(ranges), " ").alias("numbers"))
+
+
+_TIERS = "['auto_accept', 'flagged', 'rejected']"
+
+
+@query(f"SELECT {_TIERS}[greatest(l_linenumber % 3, l_partkey % 3) + 1] AS tier, count(*) AS n FROM lineitem GROUP BY ALL")
+def worse_tier(spark: SparkSession, folder: str) -> DataFrame:
+    tier = lambda c: F.element_at(F.array(F.lit("auto_accept"), F.lit("flagged"), F.lit("rejected")), (F.col(c) % 3 + 1).cast("int"))
+    return table(spark, folder, "lineitem").groupBy(text.worse_tier(tier("l_linenumber"), tier("l_partkey")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {inputs.IMAGE_BOXES} SELECT image, index AS proposal_index, name, round(score, 9) AS score FROM boxes")
+def parallel_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows put together into one row of arrays an image, and taken apart again."""
+    rows = inputs.image_boxes(spark, folder).select("image", F.col("index").alias("proposal_index"), "name", F.round("score", 9).alias("score"))
+    return arrays.apart(arrays.together(rows, ["image"], ["name", "score"]), ["name", "score"])
