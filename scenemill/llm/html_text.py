@@ -33,6 +33,8 @@ CONTAINERS = frozenset(
     "html body main article section div nav header footer aside form fieldset ul ol dl menu table thead tbody tfoot tr figure blockquote details dialog center address hgroup".split()
 )
 LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 td th dt dd pre figcaption summary legend label hr caption option".split())
+#: Leaves that hold others, with the containers in which one of their kind ends the one before.
+CELLS = {**dict.fromkeys(("td", "th"), ("tr", "table")), "li": ("ul", "ol", "menu"), **dict.fromkeys(("dt", "dd"), ("dl",))}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in classes, ids and roles that tell of something other than the article, and of the article.
 ASIDE_WORDS = frozenset(
@@ -49,41 +51,65 @@ _HINTS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE) for name in RAW}
 
-#: Kinds of place, from least to most like main text.
-OUTSIDE, HINTED, NEUTRAL, INSIDE = range(4)
+#: Kinds of place, from least to most like main text. WRAPPED is an article's container in a hinted one or a form.
+COMMENT, OUTSIDE, FORM, HINTED, WRAPPED, NEUTRAL, INSIDE = range(7)
 
 
-def place_of(path: list[tuple[str, str]]) -> int:
-    """The kind of place that a path of containers (tag, attributes) leads to."""
-    place = NEUTRAL
-    for tag, attributes in path:
+def place_of(path: list[tuple[str, str]]) -> tuple[int, int]:
+    """The kind of place that a path of containers and a leaf (tag, attributes) leads to, and how much of the path decides it."""
+    place, decided = NEUTRAL, 0
+    for k, (tag, attributes) in enumerate(path):
         hints = set()
         if attributes and tag not in ("html", "body"):
             hints = {w.lower() for m in _HINTS.finditer(attributes) for w in _PART.findall(m[1] or m[2] or m[3] or "")}
-        if place == OUTSIDE:
+        if tag in HEADINGS:  # a header there is the article's or the section's own
+            hints -= {"header", "masthead"}
+        found = None
+        if place in (COMMENT, OUTSIDE):
             break
-        if tag in ("nav", "aside", "footer", "form", "dialog") or hints & COMMENT_WORDS or (tag == "header" and place != INSIDE):
-            place = OUTSIDE
+        if hints & COMMENT_WORDS:
+            found = COMMENT
+        elif tag in ("nav", "aside", "footer", "dialog") or (tag == "header" and place != INSIDE):
+            found = OUTSIDE
+        elif tag == "form":
+            found = FORM
         elif hints & ASIDE_WORDS and tag not in ("article", "main"):
-            place = HINTED
-        elif tag in ("article", "main") or (hints & ARTICLE_WORDS and place != HINTED):
-            place = INSIDE
-    return place
-
-
-def blocks_of(page: str | None) -> list[tuple[str, int, int, str, int]]:
-    """The text blocks: leaf tag, words, linked words, text, kind of place."""
+            found = HINTED
+        elif tag in ("article", "main"):
+            found = INSIDE
+        elif hints & ARTICLE_WORDS and (tag not in LEAVES or tag == "td"):
+            found = INSIDE if place in (NEUTRAL, INSIDE) else WRAPPED
+        if found is not None:
+            place, decided = found, k + 1
+    return place, decided
+
+
+def blocks_of(page: str | None) -> list[tuple[str, int, int, str, int, int]]:
+    """The text blocks: leaf tag, words, linked words, text, kind of place, number of the element that decides it."""
     if not page:
         return []
-    found, stack, text, linked = [], [], [], 0
-    leaf, in_link, place, hidden, at = "", False, NEUTRAL, [], 0
+    found, stack, text, linked, around = [], [], [], 0, (NEUTRAL, 0)
+    leaf, in_link, place, group, hidden, at = "", False, NEUTRAL, 0, [], 0
+
+    def located(*own: tuple[str, str, int]) -> tuple[int, int]:
+        path = [*stack, *own]
+        kind, decided = place_of([e[:2] for e in path])
+        return kind, path[decided - 1][2] if decided else 0
+
+    def leave_cell(name: str) -> None:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in CELLS[name]:
+                break
+            if CELLS.get(stack[k][0]) == CELLS[name]:
+                del stack[k:]
+                break
 
     def close() -> None:
         nonlocal linked
         if text:
             words = html.unescape("".join(text)).split()
             if words:
-                found.append((leaf, len(words), min(linked, len(words)), " ".join(words), place))
+                found.append((leaf, len(words), min(linked, len(words)), " ".join(words), place, group))
             text.clear()
         linked = 0
 
@@ -121,30 +147,45 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, str, int]]:
             if not ends:
                 # menus and the like that were never closed end where the article begins
                 if name in ("main", "article"):
-                    while any(tag in ("nav", "header", "footer", "form") for tag, _ in stack):
+                    while any(tag in ("nav", "header", "footer", "form") for tag, *_ in stack):
                         stack.pop()
-                stack.append((name, attributes))
-            elif any(tag == name for tag, _ in stack):
+                stack.append((name, attributes, at))
+            elif any(tag == name for tag, *_ in stack):
                 while stack.pop()[0] != name:
                     pass
-            place = place_of(stack)
+            place, group = around = located()
         elif name in LEAVES:
             close()
             leaf = "" if ends else name
+            if name in CELLS:
+                leave_cell(name)
+                if attributes and not ends:
+                    stack.append((name, attributes, at))
+                around = located()
+            # a leaf says more than its containers only by its class, id or role
+            place, group = located((name, attributes, at)) if attributes and not ends and name not in CELLS else around
     close()
     return found
 
 
-def described(blocks: list[tuple[str, int, int, int]]) -> np.ndarray:
-    """blocks x features, from (leaf, words, linked words, place): own and neighbouring counts, and the place."""
-    words = np.array([float(min(b[1], 200)) for b in blocks])
+def described(blocks: list[tuple[str, int, int, int, int]]) -> np.ndarray:
+    """blocks x features, from (leaf, words, linked words, place, group).
+
+    Words and link density of the block and its neighbours, the places, and the share that the element
+    deciding the place has of the page's unlinked words but for comments: a sidebar has few, a wrapper most.
+    """
+    count = np.array([float(b[1]) for b in blocks])
+    words = np.minimum(count, 200)
     links = np.array([b[2] / b[1] for b in blocks])
     place = np.array([float(b[3]) for b in blocks])
     head = np.array([float(b[0] in HEADINGS) for b in blocks])
+    group = np.unique([b[4] for b in blocks], return_inverse=True)[1]
+    plain = np.where(place == COMMENT, 0.0, count * (1 - links))
+    share = np.bincount(group, plain)[group] / max(plain.sum(), 1.0)
     before = lambda x, edge: np.concatenate([[edge], x[:-1]])
     after = lambda x, edge: np.concatenate([x[1:], [edge]])
     article = np.full(len(blocks), float((place == INSIDE).any()))
-    return np.column_stack([place, words, links, head, article, before(words, 0), before(links, 0), before(place, NEUTRAL), after(words, 0), after(links, 0), after(place, NEUTRAL)])
+    return np.column_stack([place, words, links, head, article, share, before(words, 0), before(links, 0), before(place, NEUTRAL), after(words, 0), after(links, 0), after(place, NEUTRAL)])
 
 
 class Tree:
@@ -189,13 +230,17 @@ def labelled_blocks(table: str = LABELLED) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the blocks of a labelled table."""
     x, y = [], []
     for page in table.strip().split("\n\n"):
-        blocks = []
+        blocks, groups = [], {}
         for line in page.splitlines():
             path, leaf, words, linked, label, *times = line.split()
             parts = [re.split(r"[.#]", p) for p in path.split("/")]
-            place = place_of([(p[0], f'class="{p[1]}"' if len(p) > 1 else "") for p in parts])
+            leaf, *own = leaf.split(".")
+            tags = [(p[0], f'class="{p[1]}"' if len(p) > 1 else "") for p in parts]
+            place, decided = place_of([*tags, (leaf, f'class="{own[0]}"')] if own else tags)
             for _ in range(int(times[0][1:]) if times else 1):
-                blocks.append((leaf, int(words), int(linked), place))
+                # elements of one path are one; a leaf that decides is one of its own
+                group = groups.setdefault("/".join(path.split("/")[:decided]) if decided <= len(parts) else len(blocks), len(groups))
+                blocks.append((leaf, int(words), int(linked), place, group))
                 y.append(int(label))
         x.append(described(blocks))
     return np.concatenate(x), np.array(y)
@@ -228,8 +273,8 @@ def text_blocks(pages: DataFrame, html_col: str = "html", tree: Tree | None = No
                 out = []
                 for page in part.column(part.num_columns - 1).to_pylist():
                     found = blocks_of(page)
-                    main = shared.value.shares(described([(b[0], b[1], b[2], b[4]) for b in found])) >= 0.5 if found else []
-                    out.append([dict(zip(BLOCK.names, (*b, bool(m)))) for b, m in zip(found, main)])
+                    main = shared.value.shares(described([(b[0], b[1], b[2], b[4], b[5]) for b in found])) >= 0.5 if found else []
+                    out.append([dict(zip(BLOCK.names, (*b[:5], bool(m)))) for b, m in zip(found, main)])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, kind)], schema.names)
 
     return read.mapInArrow(cut, schema)
