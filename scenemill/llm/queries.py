@@ -19,7 +19,7 @@ from .ngram_join import ngram_join
 from .tiff import tiff_read, tiff_store
 from .toxicity import Chain, toxicity, train
 from .training import crc
-from .warc_fixity import FILE_RECORDS, differing, hashed_records, roots, tree
+from .warc_fixity import FILE, FILE_RECORDS, differing, hashed_records, matched, numbered, roots, tree
 from .wordpiece import sentencepiece_vocabulary, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,12 +77,14 @@ def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of the pages laid out as WARC files, and what the audit of a decayed replica says of it."""
     pages = table(spark, sf_dir, "pages").withColumn("html", F.coalesce("html", F.lit("")))
     key, file = F.col("page_id"), F.floor(F.col("page_id") / FILE_RECORDS)
-    good = staged(hashed_records(pages, key, file, F.col("url"), F.col("html")), "warc-a")
-    bad = staged(hashed_records(pages, key, file, F.col("url"), decayed(F.col("html"), key)), "warc-b")
-    levels = tree(good)
-    faults = differing(levels, tree(bad))[-1].select("file", "place", F.col("b.hash").alias("replica_sha256"))
-    out = good.join(faults, ["file", "place"], "left").join(roots(levels), "file")
-    return out.select(F.col("key").alias("page_id"), "file", "place", "start", "end", F.col("hash").alias("sha256"), F.col("replica_sha256").isNull().alias("intact"), "replica_sha256", "root")
+    laid = staged(hashed_records(pages, key, file, F.col("url"), F.col("html"), decayed(F.col("html"), key)), "warc")
+    place = [*FILE, "place"]
+    replica = laid.select(*place, *(F.col(f"copy_{c}").alias(c) for c in ("start", "end", "hash")))
+    levels = tree(laid)
+    faults = differing(levels, tree(replica))[-1].select(*place, F.col("b.hash").alias("replica_sha256"))
+    out = matched(laid, faults, place, "left")
+    out = matched(out, numbered(roots(levels)), FILE, "inner")
+    return out.select(F.col("key").alias("page_id"), F.col("number").alias("file"), "place", "start", "end", F.col("hash").alias("sha256"), F.col("replica_sha256").isNull().alias("intact"), "replica_sha256", "root")
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
