@@ -7,7 +7,8 @@ scripts, styles and other text that is not shown never becomes part of a block.
 
 Cases: null and empty pages have no blocks and an empty text. Broken markup is read as far as it goes:
 an end tag without a start is ignored, an unclosed tag at the end is dropped, unclosed scripts run to
-the end. Character references without an end are decoded as browsers do. Repeated rows give a row each.
+the end; other hidden elements without an end tag run to the end of their container or to the next
+article, main, p or h1. Formulas (math) are text, without their annotations. Character references without an end are decoded as browsers do. Repeated rows give a row each.
 An empty table gives no rows. Other columns are passed through.
 """
 
@@ -27,7 +28,9 @@ from .common import shared_value
 from .html_samples import LABELLED
 
 # Fixed values of HTML: elements whose content is no text, containers, and leaves that break a block.
-HIDDEN = frozenset("script style title textarea noscript template svg math iframe object canvas audio video select button".split())
+HIDDEN = frozenset("script style title textarea noscript template svg annotation annotation-xml iframe object canvas audio video select button".split())
+#: Hidden elements in which another of the name may stand; one of the others ends where the next begins.
+NESTED = frozenset("template svg annotation-xml object audio video".split())
 RAW = frozenset("script style title textarea iframe".split())
 CONTAINERS = frozenset(
     "html body main article section div nav header footer aside form fieldset ul ol dl menu table thead tbody tfoot tr figure blockquote details dialog center address hgroup".split()
@@ -51,6 +54,12 @@ _HINTS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE) for name in RAW}
 
+_HIDING = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})\b.*?(?:</\1\b|\Z)|<(/?)({'|'.join(sorted(HIDDEN - RAW, key=len, reverse=True))})(?![^\s/>])[^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE
+)
+#: Where these begin, a hidden element that has no end tag is over.
+TEXT_STARTS = frozenset("article main p h1".split())
+
 #: Kinds of place, from least to most like main text. WRAPPED is an article's container in a hinted one or a form.
 COMMENT, OUTSIDE, FORM, HINTED, WRAPPED, NEUTRAL, INSIDE = range(7)
 
@@ -84,11 +93,32 @@ def place_of(path: list[tuple[str, str]]) -> tuple[int, int]:
     return place, decided
 
 
+def unclosed_hidden(page: str) -> set[int]:
+    """Where the start tags of hidden elements lie that have no end tag of their own."""
+    held: dict[str, list[int]] = {}
+    lone = set()
+    for m in _HIDING.finditer(page):
+        if not m[3]:
+            continue
+        name = m[3].lower()
+        starts = held.setdefault(name, [])
+        if m[2]:
+            if starts:
+                starts.pop()
+        elif not m[0].endswith("/>"):
+            if name not in NESTED:
+                lone.update(starts)
+                starts.clear()
+            starts.append(m.start())
+    return lone.union(*held.values())
+
+
 def blocks_of(page: str | None) -> list[tuple[str, int, int, str, int, int]]:
     """The text blocks: leaf tag, words, linked words, text, kind of place, number of the element that decides it."""
     if not page:
         return []
     found, stack, text, linked, around = [], [], [], 0, (NEUTRAL, 0)
+    lone, within = None, []  # hidden elements without an end tag; containers that began in a hidden one
     leaf, in_link, place, group, hidden, at = "", False, NEUTRAL, 0, [], 0
 
     def located(*own: tuple[str, str, int]) -> tuple[int, int]:
@@ -127,14 +157,31 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, str, int, int]]:
         if not name:
             continue
         ends, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        if hidden:
+            if name in CONTAINERS and ends:
+                if name in within:
+                    del within[len(within) - 1 - within[::-1].index(name) :]
+                elif any(tag == name for tag, *_ in stack):  # the container around the hidden element ends, and so it does
+                    hidden.clear()
+            elif name in TEXT_STARTS and not ends:
+                lone = unclosed_hidden(page) if lone is None else lone
+                first = next((k for k, (_, start) in enumerate(hidden) if start in lone), len(hidden))
+                del hidden[first:]
+            if not hidden:
+                within.clear()
+            elif name in CONTAINERS and not ends:
+                within.append(name)
         if name in RAW and not ends:
             end = _ENDS[name].search(page, at)
             at = end.end() if end else len(page)
         elif name in HIDDEN:
             if not ends and not attributes.endswith("/"):
-                hidden.append(name)
-            elif ends and name in hidden:
-                del hidden[len(hidden) - 1 - hidden[::-1].index(name) :]
+                hidden.append((name, m.start()))
+            elif ends and any(tag == name for tag, _ in hidden):
+                while hidden.pop()[0] != name:
+                    pass
+                if not hidden:
+                    within.clear()
         elif hidden:
             continue
         elif name == "a":

@@ -40,3 +40,20 @@ def test_links_and_adverts_in_articles_are_left_out(text_of):
 def test_sidebars_and_comments_stay_out_of_pages_without_an_article(text_of):
     page = f"<body><div>{BODY}</div><div class='sidebar'><div class='content'><p>{'aside ' * 30}</p></div></div><div class='comments'>{BODY * 3}</div></body>"
     assert text_of([page, f"<body><div class='comments'>{BODY}</div></body>"]) == ["\n".join(PARTS), ""]
+
+
+def test_hidden_elements_without_an_end_hide_no_article(text_of):
+    menus = [f"<nav><{tag}>Menu <ul><li>Home</li></ul>" for tag in ("button", "select", "noscript", "svg", "object")]
+    pages = [f"<body>{m}</nav><article>{BODY}</article></body>" for m in menus] + [f"<body>{m}<article>{BODY}</article><button>Go</button></body>" for m in menus]
+    pages += [f"<body><div><button>Menu</div><div>{BODY}</div></body>", f"<body><button>Menu{BODY}</body>"]
+    assert text_of(pages) == ["\n".join(PARTS)] * len(pages)
+
+
+def test_hidden_elements_with_an_end_stay_hidden(text_of):
+    shut = [f"<{tag}><div><p>{'not shown ' * 30}</p></div><object><p>{'nor this ' * 30}</p></object></{tag}>" for tag in ("noscript", "template", "object", "video", "button")]
+    assert text_of([f"<article>{BODY}{s}</article>" for s in shut]) == ["\n".join(PARTS)] * len(shut)
+
+
+def test_formulas_are_text(text_of):
+    formula = "<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='application/x-tex'>x \\eq 1</annotation></semantics></math>"
+    assert text_of([f"<article><p>where {formula} holds</p>{BODY}</article>"]) == ["\n".join(["where x=1 holds", *PARTS])]
