@@ -48,8 +48,10 @@ COMMENT_WORDS = frozenset("comment comments reply replies respond discussion dis
 ARTICLE_WORDS = frozenset("article content post entry story".split())
 
 _NAME = r"<(/?)([a-zA-Z][^\s/>]*+)"
-#: A tag with well-formed quotes, or else up to the next ">"; comments; other markup; a cut-off tag.
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|{_NAME}((?:[^>\"']|\"[^\"]{{0,8192}}\"|'[^']{{0,8192}}')*+)>|{_NAME}([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
+#: Attributes: a quote delimits a value only behind "=", however long the value; one without an end is read as a name.
+_ATTRIBUTES = r"((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++))?+)*+)"
+#: A tag, or where its quotes leave no ">", one up to the next ">"; comments; other markup; a cut-off tag.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|{_NAME}{_ATTRIBUTES}>|{_NAME}([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
 _HINTS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE) for name in RAW}

@@ -57,3 +57,8 @@ def test_hidden_elements_with_an_end_stay_hidden(text_of):
 def test_formulas_are_text(text_of):
     formula = "<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='application/x-tex'>x \\eq 1</annotation></semantics></math>"
     assert text_of([f"<article><p>where {formula} holds</p>{BODY}</article>"]) == ["\n".join(["where x=1 holds", *PARTS])]
+
+
+def test_long_and_stray_quotes_in_tags(text_of):
+    tags = [f"<div data-x='{'a > b ' * 3000}'>", f'<div data-x = "{"<p> it\'s " * 3000}" class=x>', "<div title=it's data-y=a\"b>", "<div 'x>", "<div x=''>", "<div/x=1 y>", "<div data-x='>"]
+    assert text_of([f"<article>{t}{BODY}</div></article>" for t in tags]) == ["\n".join(PARTS)] * len(tags)
