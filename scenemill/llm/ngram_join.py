@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import staged
+from .exact_dedup import sha256
 from .graph import components, local_components
 from .shingles import WORDS, MinHash, choose_bands, shingle_sets
 
@@ -82,9 +83,9 @@ def pairs_of(side: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray
 
 
 def sign(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
-    """doc_id, digest of the n-gram set, its size, band hashes and sketch."""
+    """doc_id, the text's sha, digest of the n-gram set, its size, band hashes and sketch; docs: doc_id, text, sha."""
     id_field = docs.schema["doc_id"]
-    schema = T.StructType([id_field, T.StructField("digest", T.BinaryType()), T.StructField("grams", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    schema = T.StructType([id_field, docs.schema["sha"], T.StructField("digest", T.BinaryType()), T.StructField("grams", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(bands, rows)
@@ -97,7 +98,7 @@ def sign(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
                     keys = minhash.band_hashes(least) if len(grams) else least[:0].astype(np.int64)
                     out.append((hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), len(grams), keys, minhash.sketch(least)))
                 digest, n, keys, sketch = zip(*out)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], schema.names)
 
     return docs.mapInArrow(signed, schema)
 
@@ -171,11 +172,13 @@ def similar(sets: list[np.ndarray], a_side: np.ndarray, b_side: np.ndarray, thre
 
 
 def verified(docs: DataFrame, groups: DataFrame, threshold: float, words: int) -> DataFrame:
-    """node, links, root by pair of blocks; groups: node, doc_id, digest, grams, root."""
+    """node, links, root by pair of blocks; groups: node, doc_id, sha, grams, root."""
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("total"))
-    members = groups.join(sizes, "root").withColumnRenamed("doc_id", "__id")
-    # dealt out by id at every size: the members grow with the input, so they are no side to broadcast
-    texts = docs.hint("merge").join(members, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "digest", "node", "root", "n", "total")
+    members = groups.join(sizes, "root").withColumnRenamed("doc_id", "__id").withColumnRenamed("sha", "__sha")
+    # dealt out by id and text at every size: the members grow with the input, so they are no side to broadcast,
+    # and rows that share an id, or have none, don't meet
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))
+    texts = docs.hint("merge").join(members, same).select("text", "node", "root", "n", "total")
     schema = "node long, root long, n long, total long, grams binary"
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +186,8 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float, words: int) -
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
                 sets = [s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), words)]
-                # of rows that share an id, only the representative's text
-                same = [hashlib.blake2b(s, digest_size=16).digest() == d for s, d in zip(sets, part.column("digest").to_pylist())]
                 out = [part.column(c) for c in ("node", "root", "n", "total")] + [pa.array(sets, pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, ["node", "root", "n", "total", "grams"]).filter(pa.array(same))
+                yield pa.RecordBatch.from_arrays(out, ["node", "root", "n", "total", "grams"])
 
     rows = texts.mapInArrow(fetch, schema)
     blocks = F.greatest(F.ceil(F.col("n") / GROUP_BLOCK), F.ceil(F.col("total") / GROUP_GRAMS))
@@ -213,41 +214,63 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float, words: int) -
     return rows.mapInArrow(compare, "node long, links long, root long")
 
 
-def ngram_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, copy_of, n_copies, n_links, class_id.
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and the text's sha, by which rows that share an id, or have none, are told apart."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), sha256(F.coalesce(text, F.lit(""))).alias("sha"))
 
-    ``copy_of`` is the least id with the same n-gram set and ``n_copies`` how many rows have it;
-    ``n_links`` counts the other n-gram sets at or above the threshold; ``class_id`` is the least id
-    of all texts that links connect.
-    """
+
+def near_classes(read: DataFrame, threshold: float, recall: float, words: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows (doc_id, digest, ...), and for every digest its copies, links, class and whether its first row leads the class."""
     bands, rows = choose_bands(threshold, recall)
     spread = 5 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5  # five standard deviations of the estimate
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = staged(sign(read, bands, rows, words).withColumn("row_no", F.monotonically_increasing_id()), "signed")
-    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row_no")).alias("first")
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row_no", "sha")).alias("first")
     classes = staged(
-        signed.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n_copies"), F.max("grams").alias("grams")).select("digest", F.col("first.doc_id").alias("copy_of"), F.col("first.row_no").alias("node"), "n_copies", "grams"),
+        signed.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n_copies"), F.max("grams").alias("grams")).select("digest", F.col("first.doc_id").alias("copy_of"), F.col("first.row_no").alias("node"), F.col("first.sha").alias("sha"), "n_copies", "grams"),
         "classes",
     )
     reps = signed.where("grams > 0").join(classes.select("node"), F.col("row_no") == F.col("node"), "left_semi").withColumnRenamed("row_no", "node")
     reps = staged(reps.select("node", "bands", "sketch"), "representatives")
     near = components(candidate_edges(reps, (threshold - spread) * bands * rows))
-    groups = staged(classes.join(near, "node").select("node", F.col("copy_of").alias("doc_id"), "digest", "grams", "root"), "candidates")
+    groups = staged(classes.join(near, "node").select("node", F.col("copy_of").alias("doc_id"), "sha", "grams", "root"), "candidates")
     checked = staged(verified(read, groups, threshold, words), "verified")
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
     linked = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = classes.select("node", "copy_of").join(linked, "node")
-    least = named.groupBy("root").agg(F.min(F.struct(F.isnull("copy_of").alias("none"), "copy_of"))["copy_of"].alias("class_id"))
-    named = named.join(least, "root").select("node", F.struct("class_id").alias("in_class"))
+    least = named.groupBy("root").agg(F.min(F.struct(F.isnull("copy_of").alias("none"), "copy_of", "node")).alias("least"))
+    named = named.join(least, "root").select("node", F.struct(F.col("least.copy_of").alias("class_id"), F.col("least.node").alias("leader")).alias("in_class"))
     info = classes.join(links, "node", "left").join(named, "node", "left")
-    info = info.select("digest", "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("in_class").isNull(), F.col("copy_of")).otherwise(F.col("in_class.class_id")).alias("class_id"))
-    return signed.select("doc_id", "digest").join(info, "digest").select("doc_id", "copy_of", "n_copies", "n_links", "class_id")
+    alone = F.col("in_class").isNull()
+    return signed, info.select(
+        "digest",
+        "sha",
+        "copy_of",
+        "n_copies",
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(alone, F.col("copy_of")).otherwise(F.col("in_class.class_id")).alias("class_id"),
+        (alone | (F.col("in_class.leader") == F.col("node"))).alias("leads"),
+    )
+
+
+def ngram_join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, copy_of, n_copies, n_links, class_id.
+
+    ``copy_of`` is the least id with the same n-gram set and ``n_copies`` how many rows have it;
+    ``n_links`` counts the other n-gram sets at or above the threshold; ``class_id`` is the least id
+    of all texts that links connect.
+    """
+    signed, info = near_classes(keyed(docs, id_col, text_col), threshold, recall, words)
+    return signed.select("doc_id", "digest").join(info.drop("sha", "leads"), "digest").select("doc_id", "copy_of", "n_copies", "n_links", "class_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is the least of its near-duplicate group."""
-    kept = ngram_join(docs, id_col, text_col, threshold, recall, words).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = kept.select(F.col("doc_id").alias("__id"))
-    return docs.hint("merge").join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    """Of every near-duplicate group the row with the least id, with all its columns; of rows that repeat an id and a text, any one."""
+    kept = near_classes(keyed(docs, id_col, text_col), threshold, recall, words)[1].where("leads")
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    kept = kept.select(F.coalesce(F.col("copy_of").cast("string"), F.lit("")).alias("__key"), F.col("sha").alias("__sha"))
+    rows = docs.withColumn("__key", key).withColumn("__sha", sha256(F.coalesce(F.col(text_col), F.lit(""))))
+    # one exchange of the texts serves the join and the removal of repeated rows
+    return rows.hint("merge").join(kept, ["__key", "__sha"], "left_semi").dropDuplicates(["__key", "__sha"]).drop("__key", "__sha")
