@@ -25,8 +25,6 @@ from pyspark.sql import types as T
 from .common import shared_value
 from .training import TRAIN_ROWS, labelled_sample, sigmoid
 
-#: Lines that a text gives to the sample at most; scoring reads all lines.
-TRAIN_LINES = 400
 SLICE = 256
 _WORD, _SYMBOL, _DIGIT, _UPPER, _LETTER = (re.compile(p) for p in (r"\S+", r"[^\w\s]", r"\d", r"[A-ZÀ-ÖØ-Þ]", r"[^\W\d_]"))
 _STOPS, _MARKS = re.compile(r"[.!?…][\"')\]]*$"), re.compile(r"[!?]{2,}|[#$%&*|~^=<>{}\\]")
@@ -165,20 +163,17 @@ def _curve(mean: np.ndarray, good: np.ndarray, rounds: int = 60) -> tuple[float,
     return float(max(w[0], 0.0)), float(w[1])
 
 
-def read_lines(text: str | None, most: int | None = None) -> list[str]:
-    lines = (text or "").split("\n")
-    if most and len(lines) > most:
-        lines = [lines[i] for i in np.linspace(0, len(lines) - 1, most).astype(int)]
-    return lines
+def read_lines(text: str | None) -> list[str]:
+    return (text or "").split("\n")
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS) -> Field:
-    """A field fitted on the driver on at most ``rows`` documents with labels.quality, of labels where ``keep`` holds."""
+    """A field fitted on the driver on all lines of at most ``rows`` documents with labels.quality, of labels where ``keep`` holds."""
     sample = labelled_sample(docs, labels, ["quality"], keep, rows)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [read_lines(t, TRAIN_LINES) for t in batch.column("text").to_pylist()]
+            found = [read_lines(t) for t in batch.column("text").to_pylist()]
             x = [observed(x).astype(np.float32).tobytes() for x in found]
             lengths = [np.array([len(y) for y in x], np.float32).tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(x, pa.binary()), pa.array(lengths, pa.binary())], ["doc_id", "quality", "x", "lengths"])
