@@ -1,16 +1,18 @@
 """Mixing sources to target weights by hash thresholds.
 
-Every row has a 60-bit hash of its id. A source that is to give ``base`` whole passes and a rest
+Every row has a 60-bit hash of its id, source, text and, among rows that are equal in these, number. A source that is to give ``base`` whole passes and a rest
 takes each row ``base`` times, and once more if its hash lies below the source's threshold, so
 thresholds of smaller budgets are nested in those of larger ones and reruns agree. Thresholds come
 from histograms: sizes are summed by source and hash bucket, the bucket in which the budget ends is
 found from the running sum over the buckets, and only the rows of that bucket are counted again in
 finer buckets, until one hash is left. Rows are never sorted.
 
-Cases: a null text has size 0. A null source is a source of its own, ordered last. Rows with equal
-ids share a hash and are taken together. At the boundary the row is taken if that brings the source
-nearer to its target. A source without words gets the target 0. An empty table gives no rows.
-Columns of the input that clash with the added ones are replaced.
+Cases: a null text has size 0. A null source is a source of its own, ordered last. Repeated rows and
+rows without an id have hashes of their own, so any number of them is taken. At the boundary the row is
+taken if that brings the source nearer to its target. A source without words gets the target 0; its rows
+and others without words are taken as often as their hashes say, 3 times at most. An empty table gives no
+rows. mix() keeps all columns of the input, whatever their names. The sources, a row each, are put in
+order in one task; documents never are.
 """
 
 from __future__ import annotations
@@ -18,29 +20,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_join, staged
+from .common import BROADCAST_ROWS, bounded_join, fresh, known, staged
 
 #: What a word is made of: everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS = 60
 BUCKET_BITS = 12
-SALT = "mix-1"
+SALT = "mix-2"
+#: A source gives each of its words so many times at most.
+MOST_TIMES = 3
 
 
-def hash60(key: Column, salt: str = SALT) -> Column:
-    """The first 60 bits of the MD5 of the key as text."""
-    text = F.concat(F.lit(f"{salt}:"), F.coalesce(key.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+def row_key(doc_id: Column, source: Column, text: Column) -> Column:
+    """What tells rows apart: an MD5 of the MD5s of id, source and text."""
+    parts = [F.md5(c.cast("binary")) for c in (known(doc_id), known(source), F.coalesce(text, F.lit("")))]
+    return F.md5(F.concat(*parts).cast("binary"))
+
+
+def hash60(key: Column, number: Column, salt: str = SALT) -> Column:
+    """The first 60 bits of an MD5 of a row's key and its number among equal rows."""
+    text = F.concat(F.lit(f"{salt}:"), key, F.lit(":"), number.cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def with_hashes(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with the hash of every row as ``name``, in the place of the column ``key``.
+
+    Only keys that rows repeat are numbered: their rows are written with the task that read them, numbered
+    within such slices, and shifted by what earlier slices hold, so no task gathers the rows of a key.
+    """
+    many = staged(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "mix-repeated")
+    if many.isEmpty():
+        return rows.withColumn(name, hash60(F.col(key), F.lit(1))).drop(key)
+    slice_, at, before, number = fresh(rows, "slice", "at", "before", "number")
+    alone = rows.join(many, key, "left_anti").withColumn(name, hash60(F.col(key), F.lit(1))).drop(key)
+    again = rows.withColumn(slice_, F.spark_partition_id()).join(many, key, "left_semi")
+    again = staged(again.withColumn(at, F.monotonically_increasing_id()), "mix-equal")
+    counts = again.groupBy(key, slice_).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(key).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
+    counts = staged(counts.select(key, slice_, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before)), "mix-slices")
+    within = Window.partitionBy(key, slice_).orderBy(at)
+    again = again.withColumn(number, F.row_number().over(within)).join(counts, [key, slice_])
+    again = again.withColumn(name, hash60(F.col(key), F.col(number) + F.col(before)))
+    return alone.unionByName(again.select(*alone.columns))
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_times: int = 3) -> DataFrame:
-    """source, source_size, weight, target: the total size shared by weight, none above its limit.
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_times: int = MOST_TIMES) -> DataFrame:
+    """source, source_size, weight, target, base: the total size shared by weight, none above its limit.
 
-    ``sizes`` holds source and size. The source whose limit is reached first is the one with the
+    ``base`` says how many whole passes the target holds, from whole numbers. ``sizes`` holds source and size. The source whose limit is reached first is the one with the
     least size a weight, so one pass over the sources in that order finds which limits hold.
     """
     total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -65,7 +97,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
     total = total.withColumn("rest", rest)
     share = (F.col("rest.col1") * F.col("weight")).cast("double") / F.col("rest.col2")
     target = F.when(F.col("full"), (F.col("source_size") * most_times).cast("double")).otherwise(share)
-    return total.select("source", "source_size", "weight", target.alias("target"))
+    whole = F.expr("CAST(rest.col1 AS DECIMAL(38,0)) * weight DIV (CAST(rest.col2 AS DECIMAL(38,0)) * source_size)")
+    base = F.when(F.col("source_size") == 0, 0).when(F.col("full"), most_times).otherwise(whole)
+    return total.select("source", "source_size", "weight", target.alias("target"), base.cast("long").alias("base"))
 
 
 def thresholds(rows: DataFrame, targets: DataFrame, bucket_bits: int = BUCKET_BITS, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -73,9 +107,7 @@ def thresholds(rows: DataFrame, targets: DataFrame, bucket_bits: int = BUCKET_BI
 
     ``rows`` holds source, size and hash, ``targets`` what source_targets() returns.
     """
-    size = F.col("source_size")
-    base = F.when(size > 0, F.floor(F.col("target") / F.when(size > 0, size))).otherwise(0)
-    plan = targets.withColumn("base", base.cast("long")).withColumn("rest", F.col("target") - F.col("base") * size)
+    plan = targets.withColumn("rest", F.col("target") - F.col("base") * F.col("source_size"))
     plan = staged(plan.select("source", "source_size", "target", "base", "rest"), "mix-targets")
     # lo: first hash of the range that is still looked into; rest: what it may still give
     state = plan.select("source", F.lit(0).cast("long").alias("lo"), "rest")
@@ -111,28 +143,28 @@ def thresholds(rows: DataFrame, targets: DataFrame, bucket_bits: int = BUCKET_BI
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", limit: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """The staged rows (doc_id, source, size, hash) and the thresholds by source."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
-    rows = staged(rows.withColumn("hash", hash60(F.col("doc_id"))), "mix-sizes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), row_key(F.col(id_col), F.col(source_col), F.col(text_col)).alias("key"))
+    rows = staged(with_hashes(staged(rows, "mix-sizes"), "key", "hash"), "mix-rows")
     return rows, staged(thresholds(rows, source_targets(rows), limit=limit), "mix-thresholds")
 
 
-def times_taken() -> Column:
-    return (F.col("base") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)).cast("int")
+def times_taken(base: Column, hashed: Column, threshold: Column) -> Column:
+    return (base + F.when((base < MOST_TIMES) & (hashed < threshold), 1).otherwise(0)).cast("int")
 
 
 def mix_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", limit: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, source, size, source_size, target, times, taken for every row of ``docs``."""
     rows, plan = mix_plan(docs, id_col, text_col, source_col, limit)
-    out = bounded_join(rows, plan, "source", F.col("hash"), limit=limit).withColumn("times", times_taken())
+    out = bounded_join(rows, plan, "source", F.col("hash"), limit=limit).withColumn("times", times_taken(F.col("base"), F.col("hash"), F.col("threshold")))
     return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", limit: int = BROADCAST_ROWS) -> DataFrame:
     """The mixed corpus: each row of ``docs``, with all its columns, as often as the mix takes it."""
     _, plan = mix_plan(docs, id_col, text_col, source_col, limit)
-    plan = plan.select(F.col("source").alias("__source"), F.col("base").alias("__base"), F.col("threshold").alias("__threshold"))
-    rows = docs.withColumn("__hash", hash60(F.col(id_col))).withColumn("__source", F.col(source_col))
-    rows = bounded_join(rows, plan, "__source", F.col("__hash"), limit=limit)
-    times = F.col("__base") + F.when(F.col("__hash") < F.col("__threshold"), 1).otherwise(0)
-    rows = rows.withColumn("__time", F.explode(F.array_repeat(F.lit(True), times.cast("int"))))
-    return rows.select(*docs.columns)
+    key, hashed, source, base, threshold, time = fresh(docs, "mix_key", "mix_hash", "mix_source", "mix_base", "mix_threshold", "mix_time")
+    plan = plan.select(F.col("source").alias(source), F.col("base").alias(base), F.col("threshold").alias(threshold))
+    rows = with_hashes(docs.withColumn(key, row_key(F.col(id_col), F.col(source_col), F.col(text_col))), key, hashed)
+    rows = bounded_join(rows.withColumn(source, F.col(source_col)), plan, source, F.col(hashed), limit=limit)
+    times = times_taken(F.col(base), F.col(hashed), F.col(threshold))
+    return rows.withColumn(time, F.explode(F.array_repeat(F.lit(True), times))).select(*docs.columns)

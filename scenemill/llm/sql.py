@@ -9,10 +9,13 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 #: Targets and thresholds from running sums over all rows in hash order; {docs} is the table that is mixed.
 MIX_STEPS = r"""
-sized AS (
+told AS (
   SELECT *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
+         md5(md5(coalesce('=' || doc_id::VARCHAR, '')) || md5(coalesce('=' || source, '')) || md5(coalesce(text, ''))) AS key
   FROM {docs}),
+sized AS (
+  SELECT *, ('0x' || substr(md5('mix-2:' || key || ':' || row_number() OVER (PARTITION BY key)), 1, 15))::BIGINT AS hash
+  FROM told),
 totals AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS weight
@@ -27,10 +30,12 @@ targets AS (
   SELECT source, source_size,
          CASE WHEN is_full THEN (3 * source_size)::DOUBLE
               ELSE ((sum(source_size) OVER () - coalesce(sum(CASE WHEN is_full THEN 3 * source_size END) OVER (), 0)) * weight)::DOUBLE
-                   / sum(CASE WHEN NOT is_full THEN weight END) OVER () END AS target
+                   / sum(CASE WHEN NOT is_full THEN weight END) OVER () END AS target,
+         CASE WHEN source_size = 0 THEN 0 WHEN is_full THEN 3
+              ELSE (sum(source_size) OVER () - coalesce(sum(CASE WHEN is_full THEN 3 * source_size END) OVER (), 0)) * weight
+                   // (sum(CASE WHEN NOT is_full THEN weight END) OVER () * source_size) END AS base
   FROM limited),
-bases AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS base FROM targets),
+bases AS (SELECT source, source_size, target, base::BIGINT AS base FROM targets),
 units AS (
   SELECT source, hash, sum(size) AS size FROM sized GROUP BY source, hash),
 running AS (
@@ -40,7 +45,7 @@ ends AS (
   SELECT source, arg_min(CASE WHEN upto - rest < rest - (upto - size) THEN hash + 1 ELSE hash END, hash) AS threshold
   FROM running WHERE upto > rest GROUP BY source),
 mixed AS (
-  SELECT s.*, b.source_size, b.target, b.base + CASE WHEN s.hash < coalesce(e.threshold, 1 << 60) THEN 1 ELSE 0 END AS times
+  SELECT s.*, b.source_size, b.target, b.base + CASE WHEN b.base < 3 AND s.hash < coalesce(e.threshold, 1 << 60) THEN 1 ELSE 0 END AS times
   FROM sized s JOIN bases b ON s.source IS NOT DISTINCT FROM b.source
   LEFT JOIN ends e ON s.source IS NOT DISTINCT FROM e.source)
 """
