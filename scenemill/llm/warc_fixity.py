@@ -9,7 +9,8 @@ Cases: a null url or body counts as empty; records with a null or repeated key a
 their urls' hashes and their own within the key. Records without a file (null key) are a file too, and a
 file of more than FILE_RECORDS records is split into parts of so many, each with a tree of its own; a
 file is told by ``file`` and ``part``. Records that only one replica has differ from nothing and are found
-like others. An empty table has no files. Extra columns are not read.
+like others; those behind them lie at other offsets and are told by their content. Records with equal keys
+and contents are interchangeable. An empty table has no files. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def parents(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
 
 def tree(records: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
     """The levels of the trees over all files, records first, roots last."""
-    level = records.select(*FILE, "place", "start", "end", "hash")
+    level = records.select(*FILE, "place", "key", "start", "end", "hash")
     most = level.agg(F.max("place")).first()[0]
     levels = [level]
     while most is not None and most > 0:
@@ -122,22 +123,48 @@ def differing(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> l
             if above is not None:
                 side = side.withColumn("up", F.floor(F.col("place") / fanout))
                 side = matched(side, above, [*FILE, "up"], "left_semi")
-            sides.append(side.select(*FILE, "place", F.struct("start", "end", "hash").alias(name)))
-        both = matched(sides[0], sides[1], [*FILE, "place"], "full").where(~F.col("a").eqNullSafe(F.col("b")))
+            named = [c for c in ("start", "end", "hash", "key") if c in side.columns]
+            sides.append(side.select(*FILE, "place", F.struct(*named).alias(name)))
+        same = reduce(lambda p, q: p & q, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("start", "end", "hash")])
+        both = matched(sides[0], sides[1], [*FILE, "place"], "full").where(~same)
         both = staged(both, "merkle-differing")
         found.append(both)
         above = both.select(*FILE, F.col("place").alias("up"))
     return found
 
 
+def _numbered_in(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.withColumn("number", F.row_number().over(Window.partitionBy(*names).orderBy("part", "place")))
+
+
 def audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """file, part, place, fault and both sides (start, end, hash) of the records in which two replicas differ.
+    """file, part, place, fault and both sides (start, end, hash, key) of the records in which two replicas differ.
 
-    ``a`` and ``b`` are what hashed_records() returns. The fault is changed, missing (in b) or added.
+    ``a`` and ``b`` are what hashed_records() returns. The leaves that differ by place are aligned within their
+    file, by content first and then by key: a record of which the other side holds the content elsewhere has
+    "moved" (as those behind a missing one have), one whose key has other content there is "changed", and the
+    rest are "missing" (in b) or "added". The place is that in a, or in b for added ones.
     """
     last = differing(tree(a, fanout), tree(b, fanout), fanout)[-1]
-    fault = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "added").otherwise("changed")
-    return last.select(*FILE, "place", fault.alias("fault"), "a", "b")
+    sides = []
+    for name in ("a", "b"):
+        rows = last.where(F.col(name).isNotNull()).select(*FILE, "place", F.col(name).alias("record"))
+        sides.append(rows.withColumn("hash", F.col("record.hash")).withColumn("key", F.col("record.key")))
+
+    def paired(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+        names = ["file", by, "number"]
+        left, right = (_numbered_in(x, ["file", by]).select(*names, F.struct("part", "place", "record", "hash", "key").alias(n)) for x, n in ((left, "a"), (right, "b")))
+        return staged(matched(left, right, names, "full").select("file", "a", "b"), "merkle-aligned")
+
+    def left_over(both: DataFrame, side: str) -> DataFrame:
+        return both.where(F.col("b" if side == "a" else "a").isNull()).select("file", f"{side}.*")
+
+    by_content = paired(*sides, "hash")
+    by_key = paired(left_over(by_content, "a"), left_over(by_content, "b"), "key")
+    found = by_content.where("a IS NOT NULL AND b IS NOT NULL").withColumn("fault", F.lit("moved"))
+    found = found.unionByName(by_key.withColumn("fault", F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "added").otherwise("changed")))
+    at = F.coalesce("a", "b")
+    return found.select("file", at["part"].alias("part"), at["place"].alias("place"), "fault", F.col("a.record").alias("a"), F.col("b.record").alias("b"))
 
 
 def roots(levels: list[DataFrame]) -> DataFrame:
