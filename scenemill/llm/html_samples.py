@@ -347,4 +347,209 @@ div.sidebar-layout p 260 0 1
 div.sidebar-layout p 200 1 1
 div.sidebar-layout p 330 0 1
 div.copyright p 9 0 0
+
+nav/ul li 1 1 0 x6
+div.ad div 8 0 0
+article h1 1 0 1
+article p 1 0 1
+article p 2 0 1
+article p 1 0 1
+article p 2 0 1
+footer div 9 0 0
+
+nav/ul li 1 1 0 x4
+article h1 2 0 1
+article p 1 0 1
+div.ad div 8 0 0
+footer div 9 0 0
+
+article h1 3 0 1
+article p 2 0 1
+article p 3 0 1
+article p 200 0 1
+article p 1 0 1
+article p 1 0 1
+article p 14 0 1
+article/ul li 2 0 1 x4
+article p 2 0 1
+footer div 3 0 0
+
+nav/ul li 1 1 0 x5
+article p 1 0 1
+div.ad div 8 0 0
+footer div 9 0 0
+
+main h1 1 0 1
+main p 2 0 1
+main p 1 0 1
+main h2 1 0 1
+main p 1 0 1
+main p 2 0 1
+div.ad p 9 0 0
+
+div.content h1 1 0 1
+div.content p 2 0 1
+div.content p 1 0 1
+div.content p 2 0 1
+div.content p 6 0 1
+div.footer p 4 0 0
+
+nav/ul li 1 1 0 x3
+header p 3 0 0
+article h1 1 0 1
+article p 60 0 1
+article p 1 0 1
+article p 90 6 1
+article p 2 0 1
+article p 2 0 1
+footer p 30 0 0
+
+div h1 1 0 1
+div p 30 0 1
+div p 2 0 1
+div p 1 0 1
+div p 44 1 1
+div p 2 0 1
+div div 2 2 0
+div div 3 3 0
+
+div div 1 1 0 x4
+div div 3 0 0
+div h1 4 0 1
+div p 12 0 1
+div p 3 0 1
+div p 25 2 1
+div p 9 0 1
+div div 3 3 0
+div div 2 2 0
+div div 5 1 0
+
+table/tr td 1 1 0 x4
+table/tr td 60 1 1
+table/tr td 12 0 1
+table/tr td 45 2 1
+table/tr td 2 2 0 x4
+table/tr td 4 1 0
+
+div p 2 2 0 x3
+div p 5 5 0
+div p 80 2 1
+div p 15 1 1
+div p 50 0 1
+div p 4 4 0
+div p 6 6 0
+div p 3 3 0
+
+body div 3 3 0
+body div 2 2 0
+body div 70 3 1
+body div 18 0 1
+body div 52 1 1
+body div 40 0 1
+body div 3 3 0
+body div 6 4 0
+
+div p 4 3 0
+div p 3 3 0
+div p 33 2 1
+div p 48 0 1
+div p 11 0 1
+div p 62 4 1
+div p 5 4 0
+div p 9 7 0
+div p 6 5 0
+
+article p 1 0 1
+article p 1 0 1
+article p 40 0 1
+article p 12 0 1
+article/div.share p 3 0 0
+article/div.share p 4 4 0
+article/aside p 12 0 0
+article p 1 0 1
+article p 9 9 0
+
+header div 4 0 0
+main/article h1 2 0 1
+main/article p 1 0 1
+main/article p 2 0 1
+main/article h2 1 0 1
+main/article p 5 0 1
+aside p 2 0 0
+aside p 20 0 0
+footer p 1 0 0
+
+section.post h1 1 0 1
+section.post p 2 0 1
+section.post p 1 0 1
+section.post p 3 0 1
+div.sidebar p 2 0 0
+div.comments p 2 0 0
+div.comments p 1 0 0
+
+nav/ul li 2 2 0 x3
+article h1 4 0 1
+article p 50 0 1
+article p 20 0 1
+article p 3 0 1
+
+article h1 1 0 1
+article p 1 0 1
+
+main p 18 0 1
+main p 22 1 1
+main p 7 0 1
+
+div h1 3 0 1
+div p 40 0 1
+div p 17 0 1
+div p 21 1 1
+
+article p 20 0 1
+article p 2 0 1
+
+div.content p 60 2 1
+div.content p 19 0 1
+div.content p 5 0 1
+
+body p 70 0 1
+body p 23 0 1
+body p 9 0 1
+
+main/article h1 4 0 1
+main/article p 10 0 1
+div.cookie p 20 0 0
+
+article p 80 1 1
+article p 16 0 1
+div.ad p 16 0 0
+
+nav/ul li 1 1 0 x2
+article h1 3 0 1
+article p 50 0 1
+article p 30 0 1
+div.comments p 2 0 0
+footer p 1 0 0
+
+nav/ul li 2 2 0 x3
+main h1 3 0 1
+main p 4 0 1
+main p 35 0 1
+footer p 3 0 0
+
+div/ul li 1 1 0 x4
+div h1 3 0 1
+div p 33 0 1
+div p 28 0 1
+
+nav/ul li 1 1 0 x5
+div.content h1 3 0 1
+div.content p 3 0 1
+div.content p 48 1 1
+div.footer p 6 0 0
+
+nav/ul li 1 1 0 x3
+article p 3 0 1
+article p 4 0 1
+article p 26 0 1
 """

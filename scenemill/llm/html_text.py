@@ -1,9 +1,11 @@
 """Main text of HTML pages: flat text blocks, classified by a decision tree.
 
 A page is cut into text blocks at block-level tags. A block is described by its number of words and
-its link density, those of the blocks before and after it, and the kind of container it stands in. A
-small decision tree, trained on the labelled table of html_samples, says which are main text. Comments,
-scripts, styles and other text that is not shown never becomes part of a block.
+its link density, those of the two blocks before and after it, its tag, which kinds of elements it
+stands in (one yes or no each, by tag or class), and how large a share of the page's words the nearest
+of the doubtful ones holds. A small decision tree, trained on the labelled table of html_samples, says
+which are main text; no rule overrules it. Comments, scripts, styles and other text that is not shown
+never becomes part of a block. Time is linear in the page, however deep its elements nest.
 
 Cases: null and empty pages have no blocks and an empty text. Broken markup is read as far as it goes:
 an end tag without a start is ignored, an unclosed tag at the end is dropped, unclosed scripts run to
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_value
+from .common import mapped, shared_value
 from .html_samples import LABELLED
 
 # Fixed values of HTML: elements whose content is no text, containers, and leaves that break a block.
@@ -62,37 +64,66 @@ _HIDING = re.compile(
 #: Where these begin, a hidden element that has no end tag is over.
 TEXT_STARTS = frozenset("article main p h1".split())
 
-#: Kinds of place, from least to most like main text. WRAPPED is an article's container in a hinted one or a form.
-COMMENT, OUTSIDE, FORM, HINTED, WRAPPED, NEUTRAL, INSIDE = range(7)
-
-
-def place_of(path: list[tuple[str, str]]) -> tuple[int, int]:
-    """The kind of place that a path of containers and a leaf (tag, attributes) leads to, and how much of the path decides it."""
-    place, decided = NEUTRAL, 0
-    for k, (tag, attributes) in enumerate(path):
-        hints = set()
-        if attributes and tag not in ("html", "body"):
-            hints = {w.lower() for m in _HINTS.finditer(attributes) for w in _PART.findall(m[1] or m[2] or m[3] or "")}
-        if tag in HEADINGS:  # a header there is the article's or the section's own
-            hints -= {"header", "masthead"}
-        found = None
-        if place in (COMMENT, OUTSIDE):
-            break
-        if hints & COMMENT_WORDS:
-            found = COMMENT
-        elif tag in ("nav", "aside", "footer", "dialog") or (tag == "header" and place != INSIDE):
-            found = OUTSIDE
-        elif tag == "form":
-            found = FORM
-        elif hints & ASIDE_WORDS and tag not in ("article", "main"):
-            found = HINTED
-        elif tag in ("article", "main"):
-            found = INSIDE
-        elif hints & ARTICLE_WORDS and (tag not in LEAVES or tag == "td"):
-            found = INSIDE if place in (NEUTRAL, INSIDE) else WRAPPED
-        if found is not None:
-            place, decided = found, k + 1
-    return place, decided
+#: Kinds of elements that a block stands in. The first four are doubtful.
+NAVIGATION, FORM, ASIDE, COMMENT, ARTICLE, CONTENT = (1 << k for k in range(6))
+KINDS = (NAVIGATION, FORM, ASIDE, COMMENT, ARTICLE, CONTENT)
+DOUBTFUL = NAVIGATION | FORM | ASIDE | COMMENT
+#: Around a block: kinds, whether the nearest element of a kind is an article's, number of the nearest doubtful element.
+Around = tuple[int, bool, int]
+OUTERMOST: Around = (0, False, 0)
+
+
+def kinds_of(tag: str, attributes: str, around: int) -> int:
+    """The kinds of an element by its tag and the words of its class, id and role."""
+    hints = set()
+    if attributes and tag not in ("html", "body"):
+        hints = {w.lower() for m in _HINTS.finditer(attributes) for w in _PART.findall(m[1] or m[2] or m[3] or "")}
+    if tag in HEADINGS:  # a header there is the article's or the section's own
+        hints -= {"header", "masthead"}
+    found = 0
+    if hints & COMMENT_WORDS:
+        found |= COMMENT
+    if tag in ("nav", "aside", "footer", "dialog") or (tag == "header" and not around & (ARTICLE | CONTENT)):
+        found |= NAVIGATION
+    if tag == "form":
+        found |= FORM
+    if hints & ASIDE_WORDS and tag not in ("article", "main"):
+        found |= ASIDE
+    if tag in ("article", "main"):
+        found |= ARTICLE
+    if hints & ARTICLE_WORDS and not found & DOUBTFUL and (tag not in LEAVES or tag == "td"):
+        found |= CONTENT
+    return found
+
+
+def entered(around: Around, tag: str, attributes: str, number: int) -> Around:
+    """What is around the content of an element that has ``around`` around itself."""
+    found = kinds_of(tag, attributes, around[0])
+    if not found:
+        return around
+    return around[0] | found, not found & DOUBTFUL, number if found & DOUBTFUL else around[2]
+
+
+class Open:
+    """Open elements, innermost last, found by name without a search."""
+
+    def __init__(self):
+        self.items: list[tuple] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, *rest) -> None:
+        self.places.setdefault(name, []).append(len(self.items))
+        self.items.append((name, *rest))
+
+    def last(self, *names: str) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def first(self, *names: str) -> int:
+        return min((self.places[n][0] for n in names if self.places.get(n)), default=len(self.items))
+
+    def cut(self, k: int) -> None:
+        while len(self.items) > k:
+            self.places[self.items.pop()[0]].pop()
 
 
 def unclosed_hidden(page: str) -> set[int]:
@@ -115,40 +146,36 @@ def unclosed_hidden(page: str) -> set[int]:
     return lone.union(*held.values())
 
 
-def blocks_of(page: str | None) -> list[tuple[str, int, int, str, int, int]]:
-    """The text blocks: leaf tag, words, linked words, text, kind of place, number of the element that decides it."""
+class Block(tuple):
+    """leaf tag, words, linked words, text, kinds around, whether the nearest is an article's, number of the nearest doubtful element."""
+
+    __slots__ = ()
+
+
+def blocks_of(page: str | None) -> list[Block]:
+    """The text blocks of a page, in order."""
     if not page:
         return []
-    found, stack, text, linked, around = [], [], [], 0, (NEUTRAL, 0)
-    lone, within = None, []  # hidden elements without an end tag; containers that began in a hidden one
-    leaf, in_link, place, group, hidden, at = "", False, NEUTRAL, 0, [], 0
-
-    def located(*own: tuple[str, str, int]) -> tuple[int, int]:
-        path = [*stack, *own]
-        kind, decided = place_of([e[:2] for e in path])
-        return kind, path[decided - 1][2] if decided else 0
-
-    def leave_cell(name: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in CELLS[name]:
-                break
-            if CELLS.get(stack[k][0]) == CELLS[name]:
-                del stack[k:]
-                break
+    found, stack, text, linked, around = [], Open(), [], 0, OUTERMOST
+    lone, within, hidden = None, Open(), Open()  # hidden elements without an end tag; containers that began in a hidden one
+    leaf, in_link, own, at = "", False, OUTERMOST, 0
 
     def close() -> None:
         nonlocal linked
         if text:
             words = html.unescape("".join(text)).split()
             if words:
-                found.append((leaf, len(words), min(linked, len(words)), " ".join(words), place, group))
+                found.append(Block((leaf, len(words), min(linked, len(words)), " ".join(words), *own)))
             text.clear()
         linked = 0
 
+    def inside() -> Around:
+        return stack.items[-1][1] if stack.items else OUTERMOST
+
     while at < len(page):
         m = TOKEN.search(page, at)
         piece = page[at : m.start() if m else len(page)]
-        if piece and not hidden:
+        if piece and not hidden.items:
             text.append(piece)
             if in_link:
                 linked += len(html.unescape(piece).split())
@@ -159,32 +186,40 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, str, int, int]]:
         if not name:
             continue
         ends, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if hidden:
+        if hidden.items:
             if name in CONTAINERS and ends:
-                if name in within:
-                    del within[len(within) - 1 - within[::-1].index(name) :]
-                elif any(tag == name for tag, *_ in stack):  # the container around the hidden element ends, and so it does
-                    hidden.clear()
+                if (k := within.last(name)) >= 0:
+                    within.cut(k)
+                elif stack.last(name) >= 0:  # the container around the hidden element ends, and so it does
+                    hidden.cut(0)
             elif name in TEXT_STARTS and not ends:
-                lone = unclosed_hidden(page) if lone is None else lone
-                first = next((k for k, (_, start) in enumerate(hidden) if start in lone), len(hidden))
-                del hidden[first:]
-            if not hidden:
-                within.clear()
+                if lone is None:
+                    lone = unclosed_hidden(page)
+                    hidden.places["lone"] = [k for k, (_, start) in enumerate(hidden.items) if start in lone]
+                if hidden.places["lone"]:
+                    k = hidden.places["lone"][0]
+                    hidden.places["lone"].clear()
+                    hidden.cut(k)
+            if not hidden.items:
+                within.cut(0)
             elif name in CONTAINERS and not ends:
-                within.append(name)
+                within.push(name)
         if name in RAW and not ends:
             end = _ENDS[name].search(page, at)
             at = end.end() if end else len(page)
         elif name in HIDDEN:
             if not ends and not attributes.endswith("/"):
-                hidden.append((name, m.start()))
-            elif ends and any(tag == name for tag, _ in hidden):
-                while hidden.pop()[0] != name:
-                    pass
-                if not hidden:
-                    within.clear()
-        elif hidden:
+                if lone is not None and m.start() in lone:
+                    hidden.places["lone"].append(len(hidden.items))
+                hidden.push(name, m.start())
+            elif ends and (k := hidden.last(name)) >= 0:
+                hidden.cut(k)
+                if lone is not None:
+                    while hidden.places["lone"] and hidden.places["lone"][-1] >= k:
+                        hidden.places["lone"].pop()
+                if not hidden.items:
+                    within.cut(0)
+        elif hidden.items:
             continue
         elif name == "a":
             in_link = not ends
@@ -196,51 +231,74 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, str, int, int]]:
             if not ends:
                 # menus and the like that were never closed end where the article begins
                 if name in ("main", "article"):
-                    while any(tag in ("nav", "header", "footer", "form") for tag, *_ in stack):
-                        stack.pop()
-                stack.append((name, attributes, at))
-            elif any(tag == name for tag, *_ in stack):
-                while stack.pop()[0] != name:
-                    pass
-            place, group = around = located()
+                    stack.cut(stack.first("nav", "header", "footer", "form"))
+                stack.push(name, entered(inside(), name, attributes, at))
+            elif (k := stack.last(name)) >= 0:
+                stack.cut(k)
+            own = around = inside()
         elif name in LEAVES:
             close()
             leaf = "" if ends else name
             if name in CELLS:
-                leave_cell(name)
+                kin = [n for n, holders in CELLS.items() if holders == CELLS[name]]
+                if (k := stack.last(*kin)) > stack.last(*CELLS[name]):
+                    stack.cut(k)
                 if attributes and not ends:
-                    stack.append((name, attributes, at))
-                around = located()
+                    stack.push(name, entered(inside(), name, attributes, at))
+                around = inside()
             # a leaf says more than its containers only by its class, id or role
-            place, group = located((name, attributes, at)) if attributes and not ends and name not in CELLS else around
+            own = entered(around, name, attributes, at) if attributes and not ends and name not in CELLS else around
     close()
     return found
 
 
-def described(blocks: list[tuple[str, int, int, int, int]]) -> np.ndarray:
-    """blocks x features, from (leaf, words, linked words, place, group).
+FEATURE_NAMES = (
+    ["words", "links", "heading", "paragraph", "item", "cell"]
+    + [f"{what} {k:+d}" for k in (-2, -1, 1, 2) for what in ("words", "links")]
+    + ["in navigation", "in form", "in aside", "in comments", "in article", "in content", "article nearest", "share", "page has article"]
+)
+
 
-    Words and link density of the block and its neighbours, the places, and the share that the element
-    deciding the place has of the page's unlinked words but for comments: a sidebar has few, a wrapper most.
+def described(blocks: list[tuple]) -> np.ndarray:
+    """blocks x FEATURE_NAMES, from (leaf, words, linked words, kinds, article nearest, doubtful element).
+
+    ``share`` is the part of the page's unlinked words, but for comments, that the nearest doubtful element
+    holds: a sidebar has few, a wrapper most. It is 1 where there is none.
     """
     count = np.array([float(b[1]) for b in blocks])
     words = np.minimum(count, 200)
     links = np.array([b[2] / b[1] for b in blocks])
-    place = np.array([float(b[3]) for b in blocks])
-    head = np.array([float(b[0] in HEADINGS) for b in blocks])
-    group = np.unique([b[4] for b in blocks], return_inverse=True)[1]
-    plain = np.where(place == COMMENT, 0.0, count * (1 - links))
-    share = np.bincount(group, plain)[group] / max(plain.sum(), 1.0)
-    before = lambda x, edge: np.concatenate([[edge], x[:-1]])
-    after = lambda x, edge: np.concatenate([x[1:], [edge]])
-    article = np.full(len(blocks), float((place == INSIDE).any()))
-    return np.column_stack([place, words, links, head, article, share, before(words, 0), before(links, 0), before(place, NEUTRAL), after(words, 0), after(links, 0), after(place, NEUTRAL)])
+    leaf = np.array([b[0] for b in blocks])
+    kinds = np.array([b[3] for b in blocks], np.int64)
+    element = np.unique([b[5] for b in blocks], return_inverse=True)[1]
+    plain = np.where(kinds & COMMENT, 0.0, count * (1 - links))
+    share = np.where(kinds & DOUBTFUL, np.bincount(element, plain)[element] / max(plain.sum(), 1.0), 1.0)
+
+    def shifted(x: np.ndarray, by: int) -> np.ndarray:
+        out = np.zeros(len(x))
+        if by < 0:
+            out[-by:] = x[:by]
+        else:
+            out[:-by] = x[by:]
+        return out
+
+    around = [shifted(x, k) for k in (-2, -1, 1, 2) for x in (words, links)]
+    tags = [np.isin(leaf, names) for names in (list(HEADINGS), ["p"], ["li", "dt", "dd"], ["td", "th"])]
+    flags = [(kinds & k) > 0 for k in KINDS]
+    nearest = np.array([float(b[4]) for b in blocks])
+    article = np.full(len(blocks), float(((kinds & ARTICLE) > 0).any()))
+    return np.column_stack([words, links, *tags, *around, *flags, nearest, share, article]).astype(float)
+
+
+#: Blocks that a leaf of the tree is learnt from, at least.
+LEAST = 3
 
 
 class Tree:
     """A binary decision tree by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 7):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = LEAST):
+        self.least = least
         self.feature, self.limit, self.low, self.high, self.share = [], [], [], [], []
         self._grow(x, y, depth)
 
@@ -255,6 +313,8 @@ class Tree:
             values = np.unique(x[:, f])
             for limit in (values[1:] + values[:-1]) / 2:
                 low = x[:, f] <= limit
+                if min(low.sum(), (~low).sum()) < self.least:
+                    continue
                 worth = sum(2 * p.mean() * (1 - p.mean()) * len(p) for p in (y[low], y[~low]))
                 if worth < best[0] - 1e-9:
                     best = worth, f, limit
@@ -275,24 +335,29 @@ class Tree:
         return share[at]
 
 
-def labelled_blocks(table: str = LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of a labelled table."""
-    x, y = [], []
+def labelled_pages(table: str = LABELLED) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features and labels of the blocks of a labelled table, by page."""
+    pages = []
     for page in table.strip().split("\n\n"):
-        blocks, groups = [], {}
+        blocks, labels, numbers = [], [], {}
         for line in page.splitlines():
             path, leaf, words, linked, label, *times = line.split()
-            parts = [re.split(r"[.#]", p) for p in path.split("/")]
             leaf, *own = leaf.split(".")
-            tags = [(p[0], f'class="{p[1]}"' if len(p) > 1 else "") for p in parts]
-            place, decided = place_of([*tags, (leaf, f'class="{own[0]}"')] if own else tags)
+            around, steps = OUTERMOST, path.split("/")
+            for k, step in enumerate(steps):  # elements of one path are one
+                tag, *hint = re.split(r"[.#]", step)
+                around = entered(around, tag, f'class="{hint[0]}"' if hint else "", numbers.setdefault("/".join(steps[: k + 1]), len(numbers) + 1))
             for _ in range(int(times[0][1:]) if times else 1):
-                # elements of one path are one; a leaf that decides is one of its own
-                group = groups.setdefault("/".join(path.split("/")[:decided]) if decided <= len(parts) else len(blocks), len(groups))
-                blocks.append((leaf, int(words), int(linked), place, group))
-                y.append(int(label))
-        x.append(described(blocks))
-    return np.concatenate(x), np.array(y)
+                numbers[len(numbers)] = number = len(numbers) + 1  # a leaf that counts for itself
+                blocks.append((leaf, int(words), int(linked), *(entered(around, leaf, f'class="{own[0]}"', number) if own else around)))
+                labels.append(int(label))
+        pages.append((described(blocks), np.array(labels)))
+    return pages
+
+
+def labelled_blocks(table: str = LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    x, y = zip(*labelled_pages(table))
+    return np.concatenate(x), np.concatenate(y)
 
 
 def trained() -> Tree:
@@ -300,7 +365,7 @@ def trained() -> Tree:
 
 
 BLOCK = T.StructType(
-    [T.StructField(n, t) for n, t in (("tag", T.StringType()), ("words", T.IntegerType()), ("linked", T.IntegerType()), ("text", T.StringType()), ("place", T.IntegerType()), ("main", T.BooleanType()))]
+    [T.StructField(n, t) for n, t in (("tag", T.StringType()), ("words", T.IntegerType()), ("linked", T.IntegerType()), ("text", T.StringType()), ("kinds", T.IntegerType()), ("main", T.BooleanType()))]
 )
 SLICE = 64
 
@@ -322,11 +387,11 @@ def text_blocks(pages: DataFrame, html_col: str = "html", tree: Tree | None = No
                 out = []
                 for page in part.column(part.num_columns - 1).to_pylist():
                     found = blocks_of(page)
-                    main = shared.value.shares(described([(b[0], b[1], b[2], b[4], b[5]) for b in found])) >= 0.5 if found else []
+                    main = shared.value.shares(described([(*b[:3], *b[4:]) for b in found])) >= 0.5 if found else []
                     out.append([dict(zip(BLOCK.names, (*b[:5], bool(m)))) for b, m in zip(found, main)])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, kind)], schema.names)
 
-    return read.mapInArrow(cut, schema)
+    return mapped(read, cut, schema)
 
 
 def main_text(pages: DataFrame, html_col: str = "html", tree: Tree | None = None) -> DataFrame:
