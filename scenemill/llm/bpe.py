@@ -5,8 +5,10 @@ each from its own first character, so the pieces at its start may be cut wrongly
 stitched where a boundary that is known to be right in the earlier chunk is also one in the later:
 the pattern looks at nothing before a match, so from there on both agree. Where an overlap has no
 such place (one very long piece), matching goes on from the last right boundary until it meets one.
-Then the pieces are encoded. Texts of one chunk are done where they are read and never shuffled;
-of longer ones the chunks are dealt out to tasks and gathered again by row.
+Then the pieces are encoded. Texts of one chunk are done where they are read and never shuffled. Of
+longer ones copies are combined chunk by chunk before they are shuffled, the chunks of each text are
+dealt out to tasks and gathered again by its digest, and the ids are joined back to the rows, so a text
+that a third of all rows hold is encoded once and no task gathers its copies.
 
 Cases: a null text counts as empty and has no ids. Repeated rows give a row each. Other columns are
 not read. An empty table gives no rows. Memory: a slice of SLICE rows or one long text at a time.
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import keeps_cache, mapped, staged
+
 CHUNK = 32_768
 OVERLAP = 1_024
 #: Characters past a match that the pattern may look at (contractions and white space).
@@ -79,6 +83,7 @@ class Codec:
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
+keeps_cache("bpe", _CODECS.clear)
 
 
 def codec(rank_file: bytes, pattern: str) -> Codec:
@@ -178,14 +183,13 @@ def bpe_encode(
 
         yield from _batches(rows(), to_arrow_schema(out))
 
-    parts = T.StructType([*read.schema.fields[:1], *(T.StructField(n, t) for n, t in (("key", T.StringType()), ("chunk", T.IntegerType()), ("start", T.LongType()), ("n_chars", T.LongType()), ("part", T.StringType())))])
+    parts = T.StructType([T.StructField(n, t) for n, t in (("key", T.StringType()), ("chunk", T.IntegerType()), ("start", T.LongType()), ("n_chars", T.LongType()), ("part", T.StringType()))])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for doc_id, text in _rows(batches):
-                key = hashlib.sha256(text.encode()).hexdigest()
+            for key, text in _rows(batches):
                 for k, (a, b) in enumerate(cuts(len(text), chunk, overlap)):
-                    yield doc_id, key, k, a, len(text), text[a:b]
+                    yield key, k, a, len(text), text[a:b]
 
         yield from _batches(rows(), to_arrow_schema(parts))
 
@@ -196,18 +200,22 @@ def bpe_encode(
         rows = ((*row, np.fromiter(map(len, c.pieces(row[-1])), np.uint32).tobytes()) for row in _rows(batches))
         yield from _batches(rows, to_arrow_schema(cut))
 
+    whole = T.StructType([parts["key"], *out.fields[1:]])
+
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         c = codec(shared.value, pattern)
-        times = int((pdf["chunk"] == 0).sum())  # rows that repeat an id and a text
-        pdf = pdf.drop_duplicates("chunk").sort_values("chunk")
+        pdf = pdf.sort_values("chunk")
         n = int(pdf["n_chars"].iloc[0])
         text = "".join(part[:chunk] for part in pdf["part"])
         chunks = [(int(a), min(n, int(a) + chunk + overlap), np.frombuffer(x, np.uint32).astype(np.int64)) for a, x in zip(pdf["start"], pdf["lengths"])]
         ids = c.encode(pieces_of_chunks(c.match, text, chunks))
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]] * times, "n_tokens": [len(ids) // 4] * times, "ids": [ids] * times, "decoded": [c.decode(ids)] * times})
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n_tokens": [len(ids) // 4], "ids": [ids], "decoded": [c.decode(ids)]})
 
     is_long = F.length("text") > chunk
-    done = read.where(~is_long).mapInArrow(short, out)
-    chunks = read.where(is_long).mapInArrow(split, parts)
-    chunks = chunks.repartition("key", "doc_id", "chunk").mapInArrow(pretokenise, cut)
-    return done.unionByName(chunks.groupBy("key", "doc_id").applyInPandas(gather, out))
+    done = mapped(read.where(~is_long), short, out, "bpe")
+    long = read.where(is_long).withColumn("key", F.sha2("text", 256))
+    chunks = mapped(long.select("key", "text"), split, parts, "bpe").dropDuplicates(["key", "chunk"])
+    chunks = mapped(chunks, pretokenise, cut, "bpe")
+    # written, so that the join deals both sides out anew and a text of very many rows can be split
+    encoded = staged(chunks.groupBy("key").applyInPandas(gather, whole), "bpe-long")
+    return done.unionByName(long.select("doc_id", "key").join(encoded, "key").select(*out.names))

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which a small side is broadcast; beyond it the join is dealt out by salted keys.
 BROADCAST_ROWS = 100_000
 #: Salts of a dealt-out join: a key with a third of all rows is spread over so many tasks.
 JOIN_SALTS = 64
+#: Bytes of a batch of rows that goes to a Python worker, at most (one longer row is a batch of its own).
+BATCH_BYTES = 4 << 20
+_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,13 +60,14 @@ def bounded_join(
     rows is repeated for every salt, and the rows of the large side are dealt out by key and by
     ``spread`` (any column that varies within a key). ``how`` is inner or left.
     """
-    right = small.withColumnRenamed(key, "__key")
+    key2, salt, salt2 = fresh(large, "join_key", "join_salt", "join_salt2")
+    right = small.withColumnRenamed(key, key2)
     if small.count() <= limit:
-        return large.join(F.broadcast(right), large[key].eqNullSafe(right["__key"]), how).drop("__key")
-    salted = large.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = right.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    on = salted[key].eqNullSafe(right["__key"]) & (F.col("__salt") == F.col("__salt2"))
-    return salted.join(right, on, how).drop("__key", "__salt", "__salt2")
+        return large.join(F.broadcast(right), large[key].eqNullSafe(right[key2]), how).drop(key2)
+    salted = large.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = right.withColumn(salt2, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = salted[key].eqNullSafe(right[key2]) & (F.col(salt) == F.col(salt2))
+    return salted.join(right, on, how).drop(key2, salt, salt2)
 
 
 class Shared:
@@ -75,3 +83,82 @@ class Shared:
 
 def shared_value(spark: SparkSession, value: Any) -> Shared:
     return Shared(spark.sparkContext.broadcast(value))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that no column of ``df`` clashes with: the given ones, with underscores as needed."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def known(value: Column) -> Column:
+    """A value as text in which null differs from every value."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+
+
+def hashable(schema: T.StructType) -> list[str]:
+    """The columns whose values can be hashed: all but those with maps or variants in them."""
+    def plain(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return all(plain(f.dataType) for f in kind)
+        if isinstance(kind, T.ArrayType):
+            return plain(kind.elementType)
+        return not isinstance(kind, (T.MapType, T.VariantType))
+
+    return [f.name for f in schema if plain(f.dataType)]
+
+
+#: What lets go of the caches that a module's functions fill in a worker, by module.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keeps_cache(owner: str, clear: Callable[[], None]) -> None:
+    CACHES[owner] = clear
+
+
+def _let_go(owner: str | None) -> None:
+    """Clears the caches of other owners. Workers are used again by later stages, whose memory these would take."""
+    for name, clear in CACHES.items():
+        if name != owner:
+            clear()
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system, which allocators else keep for a worker's life."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def tidy(work: Callable[[Iterator], Iterator], owner: str | None = None) -> Callable[[Iterator], Iterator]:
+    """``work`` over batches, which starts without the caches of others and gives memory back at its end."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        _let_go(owner)
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return tidied
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's batches to Python workers have at most BATCH_BYTES, or less if it is set lower."""
+    held = spark.conf.get(_BYTES_CONF, None)
+    held = int(held.rstrip("b")) if held and held.rstrip("b").lstrip("-").isdigit() else 0
+    if not 0 < held <= BATCH_BYTES:
+        spark.conf.set(_BYTES_CONF, str(BATCH_BYTES))
+
+
+def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, owner: str | None = None) -> DataFrame:
+    """mapInArrow in batches of bounded bytes, by a worker that keeps no memory of others' work or its own."""
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(tidy(work, owner), schema)

@@ -8,7 +8,8 @@ at most ``hot_share`` digests are broadcast, whatever the size of the input.
 
 Cases: a null text counts as empty. Of equal texts the row with the largest id stays; a null id
 is smaller than any other. Of rows that repeat an id and a text, one stays and the others count as
-copies. An empty table gives no rows. Other columns of the input are neither read nor returned.
+copies; drop_copies() keeps the one whose columns have the largest hash. An empty table gives no rows.
+Other columns are not read by exact_groups() and kept by drop_copies(), whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, hashable, known, staged
 
 #: A digest is hot if it has one row in so many or more; so there are at most so many hot ones.
 HOT_SHARE = 1000
@@ -73,11 +74,18 @@ def _of_shared_digests(read: DataFrame, shared: DataFrame) -> DataFrame:
     return out.select("doc_id", "digest", "keep_id", "group_size", (F.col("row_no") == F.col("last_row")).alias("kept"))
 
 
+def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows with equal keys the one whose columns have the largest hash; copies are combined before they are shuffled."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.max_by(F.struct(*rest), F.xxhash64(*hashable(rows.schema)))
+    (row,) = fresh(rows, "row")
+    return rows.groupBy(*keys).agg(best.alias(row)).select(*(F.col(c) if c in keys else F.col(row)[c].alias(c) for c in rows.columns))
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat an id and a text, any one."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col), F.col("digest").alias("__sha"))
-    kept = kept.select(key.alias("__key"), "__sha")
-    rows = docs.withColumn("__key", key).withColumn("__sha", sha256(F.coalesce(F.col(text_col), F.lit(""))))
-    # one exchange of the texts serves the join and the removal of repeated rows
-    return rows.join(kept, ["__key", "__sha"], "left_semi").dropDuplicates(["__key", "__sha"]).drop("__key", "__sha")
+    """The rows of ``docs`` that stay, with all their columns."""
+    key, sha = fresh(docs, "key", "sha")
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(known(F.col("doc_id")).alias(key), F.col("digest").alias(sha))
+    rows = docs.withColumn(key, known(F.col(id_col))).withColumn(sha, sha256(F.coalesce(F.col(text_col), F.lit(""))))
+    # one exchange of the texts, after copies are combined where they are read, serves both
+    return one_of_each(rows, [key, sha]).join(kept, [key, sha], "left_semi").select(*docs.columns)

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
-from .exact_dedup import sha256
+from .common import fresh, known, mapped, staged
+from .exact_dedup import one_of_each, sha256
 from .graph import components, local_components
 from .shingles import WORDS, MinHash, choose_bands, shingle_sets
 
@@ -100,7 +100,7 @@ def sign(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
                 digest, n, keys, sketch = zip(*out)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], schema.names)
 
-    return docs.mapInArrow(signed, schema)
+    return mapped(docs, signed, schema)
 
 
 def candidate_edges(reps: DataFrame, least_equal: float) -> DataFrame:
@@ -143,7 +143,7 @@ def candidate_edges(reps: DataFrame, least_equal: float) -> DataFrame:
             kept = np.flatnonzero(root != np.arange(t.num_rows))
             yield pa.RecordBatch.from_arrays([pa.array(node[kept]), pa.array(node[root[kept]])], ["a", "b"])
 
-    return members.mapInArrow(found, "a long, b long")
+    return mapped(members, found, "a long, b long")
 
 
 def similar(sets: list[np.ndarray], a_side: np.ndarray, b_side: np.ndarray, threshold: float, width: int = 8192) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +189,7 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float, words: int) -
                 out = [part.column(c) for c in ("node", "root", "n", "total")] + [pa.array(sets, pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, ["node", "root", "n", "total", "grams"])
 
-    rows = texts.mapInArrow(fetch, schema)
+    rows = mapped(texts, fetch, schema)
     blocks = F.greatest(F.ceil(F.col("n") / GROUP_BLOCK), F.ceil(F.col("total") / GROUP_GRAMS))
     rows = block_pairs(rows.withColumn("blocks", F.least(blocks, F.col("n"))).withColumnRenamed("root", "group").drop("n", "total"), "group", F.col("blocks"))
 
@@ -211,7 +211,7 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float, words: int) -
             columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)]
             yield pa.RecordBatch.from_arrays(columns, ["node", "links", "root"])
 
-    return rows.mapInArrow(compare, "node long, links long, root long")
+    return mapped(rows, compare, "node long, links long, root long")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -267,10 +267,9 @@ def ngram_join(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
-    """Of every near-duplicate group the row with the least id, with all its columns; of rows that repeat an id and a text, any one."""
-    kept = near_classes(keyed(docs, id_col, text_col), threshold, recall, words)[1].where("leads")
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    kept = kept.select(F.coalesce(F.col("copy_of").cast("string"), F.lit("")).alias("__key"), F.col("sha").alias("__sha"))
-    rows = docs.withColumn("__key", key).withColumn("__sha", sha256(F.coalesce(F.col(text_col), F.lit(""))))
-    # one exchange of the texts serves the join and the removal of repeated rows
-    return rows.hint("merge").join(kept, ["__key", "__sha"], "left_semi").dropDuplicates(["__key", "__sha"]).drop("__key", "__sha")
+    """Of every near-duplicate group the row with the least id, with all its columns; of rows that repeat an id and a text, that whose columns have the largest hash."""
+    key, sha = fresh(docs, "key", "sha")
+    kept = near_classes(keyed(docs, id_col, text_col), threshold, recall, words)[1].where("leads").select(known(F.col("copy_of")).alias(key), F.col("sha").alias(sha))
+    rows = docs.withColumn(key, known(F.col(id_col))).withColumn(sha, sha256(F.coalesce(F.col(text_col), F.lit(""))))
+    # one exchange of the texts, after repeated rows are combined where they are read, serves both
+    return one_of_each(rows, [key, sha]).join(kept, [key, sha], "left_semi").select(*docs.columns)

@@ -76,10 +76,10 @@ def decayed(html: Column, key: Column) -> Column:
 def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of the pages laid out as WARC files, and what the audit of a decayed replica says of it."""
     pages = table(spark, sf_dir, "pages").withColumn("html", F.coalesce("html", F.lit("")))
-    key, file = F.col("page_id"), F.floor(F.col("page_id") / FILE_RECORDS)
+    key, file = F.col("page_id"), F.shiftright(F.col("page_id"), FILE_RECORDS.bit_length() - 1)
     laid = staged(hashed_records(pages, key, file, F.col("url"), F.col("html"), decayed(F.col("html"), key)), "warc")
     place = [*FILE, "place"]
-    replica = laid.select(*place, *(F.col(f"copy_{c}").alias(c) for c in ("start", "end", "hash")))
+    replica = laid.select("key", *place, *(F.col(f"copy_{c}").alias(c) for c in ("start", "end", "hash")))
     levels = tree(laid)
     faults = differing(levels, tree(replica))[-1].select(*place, F.col("b.hash").alias("replica_sha256"))
     out = matched(laid, faults, place, "left")
@@ -112,14 +112,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), *sentencepiece_vocabulary(PIECES))
 
 
-#: The chain of op9. The labels have one column on toxicity and one on quality; junk is told first.
-CATEGORIES = ["low_quality", "toxic"]
+#: The chain of op9 ends in the one toxicity column of the labels, after so many sub-categories that are derived from it.
+CATEGORIES, DERIVED = ["toxic"], 2
 
 
 def toxicity_chain(spark: SparkSession, sf_dir: str) -> Chain:
     """A chain trained on the labelled documents."""
-    labels = table(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
-    return train(table(spark, sf_dir, "documents"), labels, CATEGORIES)
+    return train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), CATEGORIES, derived=DERIVED)
 
 
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
+
 # Fixed values of the format: tags, compressions, field types and their sizes.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES = 284, 317, 322, 323, 324, 325
@@ -343,7 +345,7 @@ def tiff_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 part = batch.slice(i, SLICE)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(text_to_tiff, part.column(1).to_pylist()), pa.binary())], ["doc_id", "media"])
 
-    return read.mapInArrow(store, T.StructType([read.schema["doc_id"], T.StructField("media", T.BinaryType())]))
+    return mapped(read, store, T.StructType([read.schema["doc_id"], T.StructField("media", T.BinaryType())]))
 
 
 def tiff_read(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -362,7 +364,7 @@ def tiff_read(media: DataFrame, id_col: str = "doc_id", media_col: str = "media"
                 pages = [[blank | p | {"feature": feature(p)} for p in pages_of(m)] for m in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pages, kind)], ["doc_id", "media", "pages"])
 
-    return read.mapInArrow(decode, schema)
+    return mapped(read, decode, schema)
 
 
 def tiff_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:

@@ -24,15 +24,16 @@ def crc_of(doc_id: object) -> int:
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], keep: Column | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, text and the label columns of at most so many labelled rows, the same ones every time.
 
-    Rows without any of the labels are left out; a row labelled more than once has its largest labels.
-    The sample has a fixed bound, so it is broadcast.
+    Rows without any of the labels are left out; a row labelled more than once has its largest labels. Of
+    rows that repeat a labelled id one text is taken, that with the least hash, so ``rows`` bounds the sample
+    whatever the tables hold. The chosen labels have the same bound, so they are broadcast.
     """
     known = labels.where("doc_id is not null").where(" and ".join(f"{c} is not null" for c in columns))
     known = known.where(keep) if keep is not None else known
     known = known.groupBy("doc_id").agg(*(F.max(c).cast("int").alias(c) for c in columns))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", *columns).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", *columns)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -102,7 +103,8 @@ class Logistic:
         self.features, self.weights, self.dense, self.bias = features, weights, dense, bias
 
     @classmethod
-    def fit(cls, x: Sparse, extra: np.ndarray, y: np.ndarray, most: int = 4000, penalty: float = 5e-4, rounds: int = 300) -> Logistic:
+    def fit(cls, x: Sparse, extra: np.ndarray, y: np.ndarray, most: int = 4000, penalty: float = 5e-4, rounds: int = 300, settled: float = 2e-3) -> Logistic:
+        """Ends after so many rounds, or when one moves the weights by no more than the share ``settled`` of their norm."""
         k = extra.shape[1]
         if not len(y) or y.min() == y.max():
             share = float(y.mean()) if len(y) else 0.0
@@ -127,7 +129,10 @@ class Logistic:
             new_bias = ahead_bias - step * error.mean()
             t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
             ahead, ahead_bias = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
+            moved_by, norm = np.linalg.norm(new - w) + abs(new_bias - bias), np.linalg.norm(new) + abs(new_bias)
             w, bias, t = new, new_bias, t_new
+            if moved_by <= settled * norm:
+                break
         used = w[:m] != 0
         return cls(chosen[used], w[:m][used], w[m:], bias)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_value
+from .common import keeps_cache, mapped, shared_value
 
 WORD = re.compile(r"[^ \t-\r]+")
 UNKNOWN = -1
@@ -92,6 +92,7 @@ class _Memo(dict):
 
 
 _MEMOS: dict[str, _Memo] = {}
+keeps_cache("wordpiece", _MEMOS.clear)
 
 
 def sentencepiece_vocabulary(path: str, mark: str = "▁") -> tuple[list[str], list[str]]:
@@ -128,4 +129,4 @@ def token_counts(docs: DataFrame, starts: list[str], continuations: list[str], i
                     out.append((len(counts), sum(counts) + 2 * unknown, unknown, max(max(counts, default=0), int(unknown > 0))))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in zip(*out))], schema.names)
 
-    return read.mapInArrow(counted, schema)
+    return mapped(read, counted, schema, "wordpiece")
