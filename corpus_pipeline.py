@@ -14,19 +14,18 @@ from scenemill.llm.exact_dedup import drop_copies
 from scenemill.llm.mix import mix
 from scenemill.llm.ngram_join import drop_near_copies
 from scenemill.llm.queries import rank_file, toxicity_chain
-from scenemill.llm.toxicity import with_toxicity
+from scenemill.llm.toxicity import probabilities
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't call toxic."""
-    scored = with_toxicity(docs, toxicity_chain(spark, sf_dir))
-    return scored.where("p_toxic < 0.5").select(*docs.columns)
+    return docs.where(F.element_at(probabilities(docs, toxicity_chain(spark, sf_dir)), -1) < 0.5)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest id."""
+    """Of documents with equal texts the one with the largest id; of rows that repeat it, the one whose columns have the largest hash."""
     return drop_copies(docs)
 
 
