@@ -2,11 +2,13 @@
 
 Read: both byte orders, any chain of directories, strips and tiles, chunky and planar samples of 8,
 16 or 32 bits, no compression, LZW, deflate and PackBits, predictors 1 to 3. tiff_store() writes a
-text losslessly as 8-bit RGB pages whose layout depends on the content alone.
+text losslessly as 8-bit RGB pages whose layout depends on the content alone. A page has PAGE_ROWS rows;
+texts that would need over MOST_PAGES pages get higher ones, MOST_PAGES of them, and are stored whole too.
 
 Cases: null media have no pages. Media that are not TIFF, or break off, give the pages before the
 fault and one row whose ``error`` says what is wrong and whose samples are null. A directory that
-is met twice ends the chain with such a row. An empty text is stored as one row of blanks.
+is met twice ends the chain with such a row. An empty text is stored as one row of blanks. Repeated rows
+give rows each, equal texts equal files; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -242,7 +244,7 @@ def pages_of(data: bytes | None) -> list[dict]:
     try:
         for order, tags in directories(data) if data is not None else ():
             found.append(page(data, order, tags) | {"page": len(found)})
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error, ZeroDivisionError) as e:
+    except (ValueError, KeyError, IndexError, struct.error, zlib.error, ZeroDivisionError, MemoryError, OverflowError) as e:
         found.append({"page": len(found), "error": f"{type(e).__name__}: {e}"})
     return found
 

@@ -103,7 +103,7 @@ class Logistic:
         self.features, self.weights, self.dense, self.bias = features, weights, dense, bias
 
     @classmethod
-    def fit(cls, x: Sparse, extra: np.ndarray, y: np.ndarray, most: int = 4000, penalty: float = 5e-4, rounds: int = 300, settled: float = 2e-3) -> Logistic:
+    def fit(cls, x: Sparse, extra: np.ndarray, y: np.ndarray, most: int = 4000, penalty: float = 2e-4, rounds: int = 300, settled: float = 2e-3) -> Logistic:
         """Ends after so many rounds, or when one moves the weights by no more than the share ``settled`` of their norm."""
         k = extra.shape[1]
         if not len(y) or y.min() == y.max():
