@@ -23,7 +23,8 @@ def from_center(cx: Column, cy: Column, w: Column, h: Column) -> Column:
 
 
 def area(b: Column) -> Column:
-    return (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
+    """Width times height, each at least 0: a box that is turned inside out has no area."""
+    return F.greatest(b["x2"] - b["x1"], F.lit(0.0)) * F.greatest(b["y2"] - b["y1"], F.lit(0.0))
 
 
 def intersection(a: Column, b: Column) -> Column:
@@ -115,37 +116,53 @@ def ground_corners(x: np.ndarray, y: np.ndarray, w: np.ndarray, l: np.ndarray, y
     return np.stack([x, y], -1)[:, None] + signs[None, :, :1] * (along * l[:, None])[:, None] + signs[None, :, 1:] * (across * w[:, None])[:, None]
 
 
-def clip_area(a: np.ndarray, b: np.ndarray) -> float:
-    """Area of the intersection of two convex counter-clockwise polygons."""
-    points = a
-    for p, q in zip(b, np.roll(b, -1, axis=0)):
-        if not len(points):
-            return 0.0
-        edge = q - p
-        side = edge[0] * (points[:, 1] - p[1]) - edge[1] * (points[:, 0] - p[0])
-        kept = []
-        for i in range(len(points)):
-            j = (i + 1) % len(points)
-            if side[i] >= 0:
-                kept.append(points[i])
-            if (side[i] >= 0) != (side[j] >= 0):
-                kept.append(points[i] + (points[j] - points[i]) * (side[i] / (side[i] - side[j])))
-        points = np.array(kept)
-    if len(points) < 3:
-        return 0.0
-    x, y = points.T
-    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
-
-
-def ground_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """IoU of footprints by pair; rows (x, y, w, l, yaw). Pairs whose circles don't meet are not clipped."""
+def overlap_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Areas of the intersections of pairs of convex counter-clockwise quadrilaterals (n x 4 x 2), all pairs at once.
+
+    The corners of an intersection are the corners of either within the other and the crossings of their
+    edges; put in order around their mean they give the area.
+    """
+    tiny = 1e-12
+    edge = lambda p: np.roll(p, -1, axis=1) - p
+    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+
+    def within(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return (cross(edge(q)[:, None], p[:, :, None] - q[:, None]) >= -tiny).all(axis=2)
+
+    da, db = edge(a)[:, :, None], edge(b)[:, None]
+    gap = b[:, None] - a[:, :, None]
+    turn = cross(da, db)
+    flat = np.abs(turn) < tiny
+    safe = np.where(flat, 1.0, turn)
+    t, u = cross(gap, db) / safe, cross(gap, da) / safe
+    meets = ~flat & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    crossings = a[:, :, None] + t[..., None] * da
+    points = np.concatenate([a, b, crossings.reshape(len(a), 16, 2)], axis=1)
+    real = np.concatenate([within(a, b), within(b, a), meets.reshape(len(a), 16)], axis=1)
+    n = real.sum(axis=1)
+    mean = np.where(real[..., None], points, 0).sum(axis=1) / np.maximum(n, 1)[:, None]
+    away = np.where(real[..., None], points - mean[:, None], 0)
+    angle = np.where(real, np.arctan2(away[..., 1], away[..., 0]), np.inf)
+    away = np.take_along_axis(away, np.argsort(angle, axis=1)[..., None], axis=1)
+    # what isn't a corner lies at the mean, and triangles from there have no area; the last corner closes with the first
+    total = cross(away[:, :-1], away[:, 1:]).sum(axis=1)
+    last = np.take_along_axis(away, np.maximum(n - 1, 0)[:, None, None].repeat(2, axis=2), axis=1)[:, 0]
+    return np.where(n >= 3, np.maximum(total + cross(last, away[:, 0]), 0) / 2, 0.0)
+
+
+def ground_iou(a: np.ndarray, b: np.ndarray, block: int = 20_000) -> np.ndarray:
+    """IoU of footprints by pair; rows (x, y, w, l, yaw). Pairs whose circles don't meet are left at 0."""
     out = np.zeros(len(a))
-    far = np.hypot(a[:, 0] - b[:, 0], a[:, 1] - b[:, 1]) > (np.hypot(a[:, 2], a[:, 3]) + np.hypot(b[:, 2], b[:, 3])) / 2
-    ca, cb = ground_corners(*a.T), ground_corners(*b.T)
-    for i in np.flatnonzero(~far):
-        common = clip_area(ca[i], cb[i])
-        union = a[i, 2] * a[i, 3] + b[i, 2] * b[i, 3] - common
-        out[i] = common / union if union > 0 else 0.0
+    near = np.flatnonzero(np.hypot(a[:, 0] - b[:, 0], a[:, 1] - b[:, 1]) <= (np.hypot(a[:, 2], a[:, 3]) + np.hypot(b[:, 2], b[:, 3])) / 2)
+    for i in range(0, len(near), block):
+        k = near[i : i + block]
+        # about the first box's centre, so large coordinates take no digits from small overlaps
+        p, q = a[k].copy(), b[k].copy()
+        q[:, :2] -= p[:, :2]
+        p[:, :2] = 0
+        common = overlap_areas(ground_corners(*p.T), ground_corners(*q.T))
+        union = p[:, 2] * p[:, 3] + q[:, 2] * q[:, 3] - common
+        out[k] = np.where(union > 0, common / np.where(union > 0, union, 1), 0.0)
     return out
 
 

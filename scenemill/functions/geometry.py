@@ -9,7 +9,6 @@ are no UDFs. Results of one step that others use more than once are best made co
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -198,30 +197,25 @@ def box_to_ego(box: Column, ego: Column | Pose) -> Column:
     return F.struct(inverse_transform(ego, box["t"]).struct.alias("t"), q.struct.alias("q"), box["size"].alias("size"))
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """The body of a value that is computed once, however often the body reads it."""
-    return F.transform(F.array(value), body)[0]
+def with_camera_matrix(frames: DataFrame, ego_at_scan: str, ego_at_image: str, camera: str, out: str = "matrix") -> DataFrame:
+    """Adds the motion from the ego frame at scan time into the camera frame at image time: a struct m00 to m23.
 
-
-def in_camera(rows: DataFrame, point: str, ego_at_scan: str, ego_at_image: str, camera: str, out: str = "camera_point") -> DataFrame:
-    """Adds the point, given in the ego frame at scan time, in the camera frame at image time.
-
-    Each hop (ego, global, ego, camera) is a lambda over the point before it, which binds it once. As plain
-    expressions the hops would be put into each other, and a filter that is pushed below them would repeat
-    each many times over.
+    ``frames`` has a row for each scan and camera, and is joined to the points afterwards: the four hops (ego,
+    global, ego, camera) are composed once a row of it, and a point costs three dot products.
     """
+    q = lambda c: F.col(f"{c}.q")
+    rows = frames.withColumn("__s", unit(q(ego_at_scan)).struct).withColumn("__i", conjugate(unit(q(ego_at_image))).struct).withColumn("__c", conjugate(unit(q(camera))).struct)
+    rows = rows.withColumn("__q", quat_product(F.col("__i"), F.col("__s")).struct).withColumn("__t", rotate(F.col("__i"), subtract(F.col(f"{ego_at_scan}.t"), F.col(f"{ego_at_image}.t"))).struct)
+    rows = rows.withColumn("__q", quat_product(F.col("__c"), F.col("__q")).struct).withColumn("__t", rotate(F.col("__c"), subtract(F.col("__t"), F.col(f"{camera}.t"))).struct)
+    r = rows.withColumn("__r", rotation_matrix(F.col("__q")))
+    entries = [F.col(f"__r.r{i}{j}").alias(f"m{i}{j}") for i in range(3) for j in range(3)] + [F.col(f"__t.{c}").alias(f"m{i}3") for i, c in enumerate("xyz")]
+    return r.withColumn(out, F.struct(*entries)).drop("__s", "__i", "__c", "__q", "__t", "__r")
 
-    def hop(at: Column, frame: str, forward: bool) -> Column:
-        p = pose(F.col(frame))
-        both = F.struct(at.alias("v"), unit(p.q).struct.alias("q"))
-        if forward:
-            return bound(both, lambda b: add(rotate(b["q"], b["v"]), p.t).struct)
-        return bound(both, lambda b: rotate(conjugate(b["q"]), subtract(b["v"], p.t)).struct)
 
-    at = F.col(point)
-    for frame, forward in ((ego_at_scan, True), (ego_at_image, False), (camera, False)):
-        at = hop(at, frame, forward)
-    return rows.withColumn(out, at)
+def moved(matrix: Column, p: Column | Vec) -> Vec:
+    """A point under a matrix m00 to m23."""
+    p = vec(p)
+    return Vec(*(matrix[f"m{i}0"] * p.x + matrix[f"m{i}1"] * p.y + matrix[f"m{i}2"] * p.z + matrix[f"m{i}3"] for i in range(3)))
 
 
 def pixel(p: Column, k: Column, width: Column, height: Column, min_depth: float = MIN_DEPTH) -> Column:
@@ -232,7 +226,10 @@ def pixel(p: Column, k: Column, width: Column, height: Column, min_depth: float
     """
     z = F.when(p["z"] > min_depth, p["z"])
     u, v = k["fx"] * p["x"] / z + k["cx"], k["fy"] * p["y"] / z + k["cy"]
-    inside = F.coalesce((u >= 0) & (u < width) & (v >= 0) & (v < height), F.lit(False))
+    # without a division: a filter on it that is put into a join's condition has to stay short enough to be compiled
+    across, down = k["fx"] * p["x"] + k["cx"] * p["z"], k["fy"] * p["y"] + k["cy"] * p["z"]
+    inside = (p["z"] > min_depth) & (across >= 0) & (across < width * p["z"]) & (down >= 0) & (down < height * p["z"])
+    inside = F.coalesce(inside, F.lit(False))  # one test: as several, the optimiser would infer ever more from them
     return F.struct(u.alias("u"), v.alias("v"), p["z"].alias("depth"), inside.alias("in_image"))
 
 

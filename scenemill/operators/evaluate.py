@@ -124,11 +124,15 @@ def runs_compared(metrics: DataFrame, run: str, metric: str, value: str, runs: l
 
 
 def track_summary(rows: DataFrame, track: list[str], category: str, keyframe: str, velocity: list[str]) -> DataFrame:
-    """Most frequent class (the first by name among equals), keyframes, mean velocity and speed by track."""
+    """Most frequent class (the first by name among equals), keyframes, mean velocity and speed by track.
+
+    Values are summed as decimals of six places, so means don't depend on the order of rows.
+    """
+    mean = lambda c: F.sum(c.cast("decimal(20,6)")).cast("double") / F.count(c)
     speed = F.sqrt(reduce(lambda a, b: a + b, [F.col(v) * F.col(v) for v in velocity]))
     n = rows.groupBy(*track, category).agg(F.count(F.lit(1)).alias("__n"))
     top = n.groupBy(*track).agg(F.min_by(category, F.struct(-F.col("__n"), F.col(category))).alias("category"))
-    sums = rows.groupBy(*track).agg(F.count_distinct(keyframe).alias("n_keyframes"), *(F.avg(v).alias(f"mean_{v}") for v in velocity), F.avg(speed).alias("mean_speed"))
+    sums = rows.groupBy(*track).agg(F.count_distinct(keyframe).alias("n_keyframes"), *(mean(F.col(v)).alias(f"mean_{v}") for v in velocity), mean(speed).alias("mean_speed"))
     return sums.join(top, track)
 
 

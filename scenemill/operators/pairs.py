@@ -40,10 +40,16 @@ def grid_pairs(left: DataFrame, right: DataFrame, x: str, y: str, reach: float,
     return a.join(b, on).withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= reach).drop("__i", "__j", "b___i", "b___j")
 
 
-#: What becomes of an arm-A box of a class that overlaps an arm-B box: classes whose A box gives way.
-GIVES_WAY = ("bicycle", "bus", "car", "motorcycle", "truck")
-KEEPS_BOTH = ("pedestrian",)
-#: Share of an A box of a class within a B box from which it is a part of it.
+#: Fixed values of the two-arm contest: what becomes of an arm-A box of a class that overlaps an arm-B box.
+ARBITRATION = {
+    "car": "suppressed",
+    "truck": "suppressed",
+    "bus": "suppressed",
+    "motorcycle": "suppressed",
+    "bicycle": "suppressed",
+    "pedestrian": "both_kept",
+}
+#: Share of an A box of a class within a B box from which it is a part of it.
 PART_FLOORS = {"bicycle": 0.6, "motorcycle": 0.6}
 
 
@@ -52,21 +58,23 @@ def arbitrated(
     arm_b: DataFrame,
     keys: list[str],
     threshold: float = 0.5,
-    gives_way: tuple[str, ...] = GIVES_WAY,
-    keeps_both: tuple[str, ...] = KEEPS_BOTH,
+    table: dict[str, str] = ARBITRATION,
     part_floors: dict[str, float] = PART_FLOORS,
-    protected: tuple[str, ...] = (),
+    protected: dict[str, float] | None = None,
 ) -> DataFrame:
     """The merged rows of both arms and what became of each: keys, arm, index, name, box, outcome, partner, overlap.
 
-    ``arm_a`` and ``arm_b`` have index (within the image), name and box. Protected A boxes veto B boxes
-    that overlap them. Every other A box meets the live B box it overlaps most (the least index among
+    ``arm_a`` and ``arm_b`` have index (within the image), name, score and box. A boxes of a ``protected``
+    class that score at least its floor veto B boxes that overlap them. Every other A box meets the live B box it overlaps most (the least index among
     equals); over the threshold the table decides. A boxes of part classes not yet suppressed are absorbed
     by the B box that contains most of them. Outcomes: kept, vetoed, suppressed, absorbed, both_kept (a
     kept pair the table allows) and untabled (kept, for want of an entry). Nothing depends on the order
     of boxes but ties, so each step is a join and a best-of aggregate.
     """
-    a = arm_a.select(*keys, "index", "name", "box")
+    guard = F.lit(False)
+    for name, floor in (protected or {}).items():
+        guard = guard | ((F.col("name") == name) & (F.col("score") >= floor))
+    a = arm_a.select(*keys, "index", "name", "box", guard.alias("guarded"))
     b = prefixed(arm_b.select(*keys, "index", "name", "box"), "b_")
 
     def best(pairs: DataFrame, by: list[str], score: str, other: str) -> DataFrame:
@@ -75,13 +83,15 @@ def arbitrated(
     pairs = a.join(b, _same(a, b, keys)).withColumn("iou", B.iou(F.col("box"), F.col("b_box"))).withColumn("inside", B.containment(F.col("box"), F.col("b_box")))
     b_keys = [f"b_{k}" for k in keys]
     if protected:
-        veto = best(pairs.where(F.col("name").isin(*protected) & (F.col("iou") > threshold)), [*b_keys, "b_index"], "iou", "index")
+        veto = best(pairs.where(F.col("guarded") & (F.col("iou") > threshold)), [*b_keys, "b_index"], "iou", "index")
     else:
         veto = b.limit(0).select(*b_keys, "b_index", F.lit(None).cast("int").alias("partner"), F.lit(None).cast("double").alias("overlap"))
     live = pairs.join(veto.select(*b_keys, "b_index"), [*b_keys, "b_index"], "left_anti") if protected else pairs
-    open_a = live.where(~F.col("name").isin(*protected)) if protected else live
+    open_a = live.where(~F.col("guarded"))
     met = best(open_a, [*keys, "index", "name"], "iou", "b_index").where(F.col("overlap") > threshold)
-    outcome = F.when(F.col("name").isin(*gives_way), "suppressed").when(F.col("name").isin(*keeps_both), "both_kept").otherwise("untabled")
+    outcome = F.lit("untabled")
+    for name, what in table.items():
+        outcome = F.when(F.col("name") == name, what).otherwise(outcome)
     met = met.withColumn("outcome", outcome).drop("name")
     floor = F.coalesce(*(F.when(F.col("name") == n, F.lit(f)) for n, f in part_floors.items()))
     parts = best(open_a.where(floor.isNotNull()), [*keys, "index", "name"], "inside", "b_index")
@@ -120,9 +130,12 @@ def renumbered(merged: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def best_by_point(rows: DataFrame, point: list[str], score: str, priority: str) -> DataFrame:
-    """Each point's row of the highest score; among equals that of the least priority number."""
-    order = Window.partitionBy(*point).orderBy(F.col(score).desc(), F.col(priority).asc())
-    return rows.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
+    """Each point's row of the highest score; among equals that of the least priority number.
+
+    A best-of aggregate, so each task hands on one row a point.
+    """
+    best = F.max_by(F.struct(*rows.columns), F.struct(F.col(score), -F.col(priority)))
+    return rows.groupBy(*point).agg(best.alias("__best")).select("__best.*")
 
 
 def first_claims(rows: DataFrame, pixel: list[str], rule: str = "smallest_mask") -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import boxes as B
 from ..functions import geometry as G
 from ..functions.regions import Region, normalised, without
 from ..operators import filters, gate, inflate, pairs
+from ..operators.joins import small
 from ..sources.tables import table
 from . import inputs
 from .registry import query
@@ -119,9 +120,9 @@ def containment_suppress(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""
 WITH {inputs.IMAGE_BOXES},
 arm_a AS (SELECT * FROM boxes WHERE odd = 1), arm_b AS (SELECT * FROM boxes WHERE odd = 0),
-p AS (SELECT a.image, a.index, a.name, b.index AS b_index, {inputs.IOU} AS iou, {inputs.INSIDE} AS inside FROM arm_a a JOIN arm_b b ON a.image = b.image),
-veto AS (SELECT image, b_index, arg_max(index, (iou, -index)) AS partner, max(iou) AS overlap FROM p WHERE name = 'bus' AND iou > 0.5 GROUP BY ALL),
-live AS (SELECT * FROM p WHERE name <> 'bus' AND (image, b_index) NOT IN (SELECT (image, b_index) FROM veto)),
+p AS (SELECT a.image, a.index, a.name, a.score, b.index AS b_index, {inputs.IOU} AS iou, {inputs.INSIDE} AS inside FROM arm_a a JOIN arm_b b ON a.image = b.image),
+veto AS (SELECT image, b_index, arg_max(index, (iou, -index)) AS partner, max(iou) AS overlap FROM p WHERE name = 'bus' AND score >= 0.3 AND iou > 0.5 GROUP BY ALL),
+live AS (SELECT * FROM p WHERE NOT (name = 'bus' AND score >= 0.3) AND (image, b_index) NOT IN (SELECT (image, b_index) FROM veto)),
 met AS (SELECT image, index, arg_max(b_index, (iou, -b_index)) AS partner, max(iou) AS overlap FROM live GROUP BY ALL HAVING max(iou) > 0.5),
 part AS (SELECT image, index, arg_max(b_index, (inside, -b_index)) AS whole, max(inside) AS covered FROM live WHERE name IN ('bicycle', 'motorcycle') GROUP BY ALL HAVING max(inside) >= 0.6),
 a_out AS (
@@ -137,23 +138,29 @@ SELECT b.image, 'b', b.index, b.name, CASE WHEN v.partner IS NULL THEN 'kept' EL
 FROM arm_b b LEFT JOIN veto v ON b.image = v.image AND b.index = v.b_index
 """)
 def arbitration_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """Odd lines against even lines of an order; buses are protected."""
+    """Odd lines against even lines of an order; buses of score 0.3 and more are protected."""
     rows = inputs.image_boxes(spark, folder)
-    out = pairs.arbitrated(rows.where("odd = 1"), rows.where("odd = 0"), ["image"], protected=("bus",))
+    out = pairs.arbitrated(rows.where("odd = 1"), rows.where("odd = 0"), ["image"], protected={"bus": 0.3})
     return out.select("image", "arm", "index", "name", "outcome", "partner", F.round("overlap", 6).alias("overlap"))
 
 
 def _seen(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as points, nations as cameras: the cameras of a region see the points of a fifth of the users."""
+    """Events as points, nations as cameras: the cameras of a region see the points of a fifth of the users.
+
+    Every user's scan has a pose of its own, so a row of frames is a user and a camera.
+    """
     c, zero = F.col, F.lit(0.0)
-    points = table(spark, folder, "events").select("event_id", (c("user_id") % 5).cast("int").alias("rig"), G.Vec(c("value") % 9.0 - 4.0, (c("user_id") % 7) * 1.0 - 3.0, 2.0 + c("value") % 13.0).struct.alias("point"), (c("user_id") * 0.1).alias("drive"))
+    events = table(spark, folder, "events")
+    points = events.select("event_id", "user_id", G.Vec(c("value") % 9.0 - 4.0, (c("user_id") % 7) * 1.0 - 3.0, 2.0 + c("value") % 13.0).struct.alias("point"))
     yaw = c("n_nationkey") * F.lit(2 * math.pi / 25)
     cameras = table(spark, folder, "nation").select("n_nationkey", c("n_regionkey").alias("rig"), G.Pose(G.Vec(c("n_nationkey") * 0.25 - 3.0, (c("n_nationkey") % 5) * 0.5, F.lit(0.5)), G.quat_of_yaw(yaw)).struct.alias("camera"))
     pose = lambda x: G.Pose(G.Vec(x, zero, zero), G.Quat(F.lit(1.0), zero, zero, zero)).struct
-    seen = points.join(F.broadcast(cameras), "rig")
-    seen = G.in_camera(seen.withColumn("scan", pose(c("drive"))).withColumn("image", pose(c("drive") + 0.5)), "point", "scan", "image", "camera", "p")
+    scans = events.select("user_id").distinct().select("user_id", (c("user_id") % 5).cast("int").alias("rig"), pose(c("user_id") * 0.1).alias("scan"), pose(c("user_id") * 0.1 + 0.5).alias("image"))
+    frames = G.with_camera_matrix(scans.join(cameras, "rig"), "scan", "image", "camera").select("user_id", "n_nationkey", "matrix")
+    seen = points.join(small(frames), "user_id")
+    seen = seen.select("event_id", "n_nationkey", G.moved(c("matrix"), c("point")).struct.alias("p"))
     k = F.struct(F.lit(40.0).alias("fx"), F.lit(42.0).alias("fy"), F.lit(50.0).alias("cx"), F.lit(30.0).alias("cy"))
-    return seen.withColumn("pixel", G.bound(c("p"), lambda p: F.struct(G.pixel(p, k, F.lit(100), F.lit(60)).alias("at"), F.round(G.axis_cosine(p), 9).alias("cosine")))).select("event_id", "n_nationkey", "pixel.at", "pixel.cosine")
+    return seen.select("event_id", "n_nationkey", G.pixel(c("p"), k, F.lit(100), F.lit(60)).alias("at"), F.round(G.axis_cosine(c("p")), 9).alias("cosine"))
 
 
 _SEEN = f"""

@@ -83,13 +83,12 @@ def run_pivot(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
 WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
 m AS (SELECT user_id, event_type AS category FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1)
-SELECT user_id, count(DISTINCT ts::DATE) AS n_keyframes, round(avg(value), 4) AS mean_value, round(avg(value / 3), 4) AS mean_third, round(avg(sqrt(value * value + value / 3 * (value / 3))), 4) AS mean_speed, category
+SELECT user_id, count(DISTINCT ts::DATE) AS n_keyframes, sum(value::DECIMAL(20,6))::DOUBLE / count(value) AS mean_value, sum((value / 3)::DECIMAL(20,6))::DOUBLE / count(value) AS mean_third, sum(sqrt(value * value + value / 3 * (value / 3))::DECIMAL(20,6))::DOUBLE / count(value) AS mean_speed, category
 FROM events JOIN m USING (user_id) GROUP BY user_id, category
 """)
 def track_summary(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "events").withColumn("day", F.to_date("ts")).withColumn("third", F.col("value") / 3)
-    out = evaluate.track_summary(rows, ["user_id"], "event_type", "day", ["value", "third"])
-    return out.withColumns({c: F.round(c, 4) for c in ("mean_value", "mean_third", "mean_speed")})
+    return evaluate.track_summary(rows, ["user_id"], "event_type", "day", ["value", "third"])
 
 
 @query(f"""

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM never compiles methods of more bytes: such a stage is faster as operators of their own
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
