@@ -58,22 +58,36 @@ def captions(phrases: DataFrame, group: list[str], order: str, phrase: str, sepa
     return phrases.groupBy(*group).agg(F.array_join(F.transform(parts, lambda s: s["p"]), separator).alias("caption"))
 
 
+#: Answers that are no class: the model can't tell, or the reply can't be read.
+UNCLEAR, ERROR = "unclear", "error"
+
+
 def reply_label(reply: Column) -> Column:
-    """The label of a model's reply: thoughts are dropped, the last JSON object with a label counts.
+    """What a model's reply says, in lower case: thoughts are dropped, and of its JSON objects the last whose label is a string counts.
 
-    A parenthetical at its end and a leading article are dropped too; null if there is no label.
+    Asides in parentheses and a full stop at the end are dropped; null if no object has such a label.
     """
-    said = F.regexp_replace(reply, r"(?s)^.*</think>", "")
-    found = F.regexp_extract_all(said, F.lit(r'(\{[^{}]*"label"[^{}]*\})'), F.lit(1))
-    label = F.get_json_object(F.try_element_at(found, F.lit(-1)), "$.label")
-    label = F.trim(F.regexp_replace(label, r"\s*\([^()]*\)\s*$", ""))
-    return F.when(label != "", strip_article(label))
+    said = F.regexp_replace(reply, r"(?s)<think>.*?</think>", "")
+    objects = F.regexp_extract_all(said, F.lit(r"(\{[^{}]*\})"), F.lit(1))
+    # JSON paths don't tell strings from numbers; the variant's type does
+    labels = F.transform(objects, lambda o: F.try_parse_json(o))
+    texts = F.filter(labels, lambda v: F.schema_of_variant(F.try_variant_get(v, "$.label", "variant")) == "STRING")
+    label = F.lower(F.trim(F.try_variant_get(F.try_element_at(texts, F.lit(-1)), "$.label", "string")))
+    label = F.regexp_replace(F.regexp_replace(label, r"\.+$", ""), r"\s*\([^)]*\)", "")
+    return F.regexp_replace(F.trim(label), r"\.+$", "")
+
+
+def answer(label: Column, allowed: Column) -> Column:
+    """The allowed class that a label names, with its article or without; "unclear" stays, what names none is null."""
+    bare = F.transform(allowed, strip_article)
+    at = F.array_position(bare, strip_article(label))
+    return F.when(label == UNCLEAR, UNCLEAR).when(F.array_contains(allowed, label), label).when(at > 0, F.try_element_at(allowed, at.cast("int")))
 
 
 def verdict(label: Column, own: Column, allowed: Column) -> Column:
-    """confirmed, relabeled or unclear, from a reply's label, the row's class and the allowed classes."""
-    said = F.lower(label)
-    return F.when(said == F.lower(strip_article(own)), "confirmed").when(F.array_contains(allowed, said), "relabeled").otherwise("unclear")
+    """confirmed, relabeled, unclear or error, from a reply's label, the row's class and the allowed classes."""
+    said = answer(label, allowed)
+    return F.when(said.isNull(), ERROR).when(said == UNCLEAR, UNCLEAR).when(said == own, "confirmed").otherwise("relabeled")
 
 
 def location_of(text: Column, places: list[str], other: str = "unknown") -> Column:

@@ -141,3 +141,19 @@ def best_epoch(log: DataFrame, weights: dict[str, float], epoch: str = "epoch")
     fitness = reduce(lambda a, b: a + b, [F.col(c).cast("double") * w for c, w in weights.items()])
     out = log.withColumn("fitness", fitness)
     return out.agg(F.max_by(F.struct("*"), F.struct("fitness", -F.col(epoch).cast("long"))).alias("__r")).select("__r.*")
+
+
+def rolled_up(rows: DataFrame, levels: list[str], *counters: Column) -> DataFrame:
+    """Counters by each level and all above it, down to one row for everything."""
+    return rows.rollup(*levels).agg(*counters)
+
+
+def chain_statistics(rows: DataFrame, chain: list[str], long: int = 3) -> DataFrame:
+    """How many chains and rows there are, their mean and median length, and the share of rows on long chains."""
+    n = rows.groupBy(*chain).agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.count(F.lit(1)).alias("n_chains"), F.sum("n").alias("n_rows"), F.avg("n").alias("mean_length"), F.percentile("n", 0.5).alias("median_length"), (F.sum(F.when(F.col("n") >= long, F.col("n")).otherwise(0)) / F.sum("n")).alias("share_on_long"))
+
+
+def mask_union(rows: DataFrame, pixel: list[str], mask: str) -> DataFrame:
+    """Whether any mask holds a pixel, how many do, and how many say anything of it."""
+    return rows.groupBy(*pixel).agg(F.bool_or(mask).alias(mask), F.count_if(mask).alias("votes"), F.count(F.lit(1)).alias("n"))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import detection, evaluation, frames, grouped, integrity, labels, release, vectors  # noqa: F401  they register
+from . import detection, evaluation, frames, geometry, grouped, integrity, joins, labels, release, spatial, vectors  # noqa: F401  they register
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -28,20 +28,32 @@ def strip_article(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.md5(text.strip_article(F.col("text"))).alias("phrase"))
 
 
+#: What a reply says of an event, its own class and the label read from it, by the event's number.
+_ALLOWED = ["a view", "a click", "the purchase"]
+
+
 @query(r"""
-WITH r AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'the view' ELSE event_type END AS own,
-                  '<think>' || event_type || ' {"label": "no"}</think> so {"label": "' || CASE WHEN event_id % 2 = 0 THEN 'The ' ELSE '' END || event_type || CASE WHEN event_id % 3 = 0 THEN ' (sure)' ELSE '' END || '"}' AS reply FROM events),
-l AS (SELECT event_id, own, json_extract_string(regexp_extract_all(regexp_replace(reply, '(?s)^.*</think>', ''), '(\{[^{}]*"label"[^{}]*\})', 1)[-1], '$.label') AS raw FROM r),
-s AS (SELECT event_id, own, regexp_replace(trim(regexp_replace(raw, '\s*\([^()]*\)\s*$', '')), '^(?:a|an|the)\s+', '', 'i') AS label FROM l)
-SELECT event_id, label, CASE WHEN lower(label) = regexp_replace(own, '^(?:a|an|the)\s+', '', 'i') THEN 'confirmed' WHEN label IN ('view', 'click') THEN 'relabeled' ELSE 'unclear' END AS verdict FROM s
+WITH e AS (SELECT event_id, event_type AS t, CASE WHEN event_type = 'view' THEN 'a view' WHEN event_type = 'purchase' THEN 'the purchase' ELSE 'a click' END AS own, event_id % 7 AS k FROM events),
+l AS (SELECT event_id, own, CASE k WHEN 0 THEN 'a ' || t WHEN 1 THEN t WHEN 2 THEN t WHEN 3 THEN 'unclear' WHEN 5 THEN t WHEN 6 THEN t END AS label FROM e),
+s AS (SELECT event_id, own, label, CASE WHEN label = 'unclear' THEN 'unclear' WHEN regexp_replace(label, '^a ', '') = 'view' THEN 'a view' WHEN regexp_replace(label, '^a ', '') = 'click' THEN 'a click' WHEN regexp_replace(label, '^a ', '') = 'purchase' THEN 'the purchase' END AS said FROM l)
+SELECT event_id, label, CASE WHEN said IS NULL THEN 'error' WHEN said = 'unclear' THEN 'unclear' WHEN said = own THEN 'confirmed' ELSE 'relabeled' END AS verdict FROM s
 """)
 def parse_vlm_json(spark: SparkSession, folder: str) -> DataFrame:
-    """Replies with thoughts, articles and asides, read and judged against the row's own class."""
-    even, third = F.when(F.col("event_id") % 2 == 0, "The ").otherwise(""), F.when(F.col("event_id") % 3 == 0, " (sure)").otherwise("")
-    reply = F.concat(F.lit("<think>"), "event_type", F.lit(' {"label": "no"}</think> so {"label": "'), even, "event_type", third, F.lit('"}'))
-    own = F.when(F.col("event_id") % 5 == 0, "the view").otherwise(F.col("event_type"))
+    """Replies with thoughts, articles, asides, capitals, full stops, numbers for labels, or nothing to read, judged against the row's own class."""
+    t, k = F.col("event_type"), F.col("event_id") % 7
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    reply = (
+        F.when(k == 0, say('<think>{"label": "no"}</think> so {"label": "A ', F.initcap(t), '."}'))
+        .when(k == 1, say('{"label": "', t, ' (sure, {}) "} {"other": 1}'.replace("{}", "quite")))
+        .when(k == 2, say('{"label": "x"} then {"label": "', F.upper(t), '"} {"label": 5}'))
+        .when(k == 3, F.lit('{"label": " Unclear. "}'))
+        .when(k == 4, say("no object: ", t))
+        .when(k == 5, say('{"label": "', t, '"} {"label": broken}'))
+        .otherwise(say('{"label": "', t, ' (a) (b)."}'))
+    )
+    own = F.when(t == "view", "a view").when(t == "purchase", "the purchase").otherwise("a click")
     rows = table(spark, folder, "events").select("event_id", own.alias("own"), text.reply_label(reply).alias("label"))
-    return rows.select("event_id", "label", text.verdict(F.col("label"), F.col("own"), F.array(F.lit("view"), F.lit("click"))).alias("verdict"))
+    return rows.select("event_id", "label", text.verdict(F.col("label"), F.col("own"), F.array(*map(F.lit, _ALLOWED))).alias("verdict"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
