@@ -1 +1 @@
-
+"""Streaming forms of the engine's stateful operators."""
