@@ -38,7 +38,7 @@ OVERLAP = 1_024
 #: Characters past a match that the pattern may look at (contractions and white space).
 LOOKAHEAD = 8
 #: Pieces that a worker remembers, rows and bytes that it handles at once.
-MEMO, SLICE, FLUSH = 200_000, 256, 16_000_000
+MEMO, SLICE, FLUSH = 200_000, 256, 4_000_000
 
 
 def ranks_of(data: bytes) -> dict[bytes, int]:

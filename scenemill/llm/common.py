@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import weakref
 
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import Files
+
 #: Rows up to which a small side is broadcast; beyond it the join is dealt out by salted keys.
 BROADCAST_ROWS = 100_000
 #: Salts of a dealt-out join: a key with a third of all rows is spread over so many tasks.
@@ -43,12 +46,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to a table in the shared folder and reads them back.
 
     It cuts the lineage, survives lost executors, and fixes whatever is not deterministic in
-    ``df``. The table stays until the folder is cleaned, as later plans read it lazily.
+    ``df``. The table stays until discarded() or until the folder is cleaned, as later plans read it lazily.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scenemill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STAGED[id(out)] = path
+    weakref.finalize(out, _STAGED.pop, id(out), None)
+    return out
+
+
+#: Where staged tables lie, by the identity of their frame.
+_STAGED: dict[int, str] = {}
+
+
+def discarded(*frames: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for df in frames:
+        path = _STAGED.pop(id(df), None)
+        if path:
+            Files(df.sparkSession).remove(path)
 
 
 def bounded_join(

@@ -9,6 +9,10 @@
    too if the group connects it. Counts of links and a forest of the verified links are emitted.
 4. The components of the verified links are the near-duplicate groups.
 
+Where links need not be counted (drop_near_copies), step 3 first compares each member with its group's
+least node alone, which costs time in proportion to the members; only groups in which some member isn't
+similar to that node are compared pair by pair.
+
 Cases: words are runs without ASCII white space, compared as they are. A text of fewer words than an
 n-gram is one n-gram; texts without words (null or empty too) form one class without links. Rows that
 repeat an id and a text are copies. Null ids come last among copies. An empty table gives no rows.
@@ -171,8 +175,8 @@ def similar(sets: list[np.ndarray], a_side: np.ndarray, b_side: np.ndarray, thre
     return a_side[x], b_side[y]
 
 
-def verified(docs: DataFrame, groups: DataFrame, threshold: float, words: int) -> DataFrame:
-    """node, links, root by pair of blocks; groups: node, doc_id, sha, grams, root."""
+def gram_sets(docs: DataFrame, groups: DataFrame, words: int) -> DataFrame:
+    """node, root, n, total (members and n-grams of the group), and the n-gram set of every member; groups: node, doc_id, sha, grams, root."""
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("total"))
     members = groups.join(sizes, "root").withColumnRenamed("doc_id", "__id").withColumnRenamed("sha", "__sha")
     # dealt out by id and text at every size: the members grow with the input, so they are no side to broadcast,
@@ -189,7 +193,39 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float, words: int) -
                 out = [part.column(c) for c in ("node", "root", "n", "total")] + [pa.array(sets, pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, ["node", "root", "n", "total", "grams"])
 
-    rows = mapped(texts, fetch, schema)
+    return mapped(texts, fetch, schema)
+
+
+def near_first(docs: DataFrame, groups: DataFrame, threshold: float, words: int) -> DataFrame:
+    """node, root and whether the member is similar to its group's least node, which goes to every block of the group."""
+    blocks = F.greatest(F.ceil(F.col("n") / GROUP_BLOCK), F.ceil(F.col("total") / GROUP_GRAMS)).cast("int")
+    rows = gram_sets(docs, groups, words).withColumn("blocks", blocks).withColumn("first", F.col("node") == F.col("root"))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("block", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
+    rows = rows.select(F.col("root").alias("group"), "block", (~F.col("first")).alias("later"), "node", "grams").repartition("group", "block").sortWithinPartitions("group", "block", "later", "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = key = None
+        for batch in batches:
+            out = []
+            for group, block, later, node, grams in zip(*(batch.column(k) for k in range(5))):
+                own = np.frombuffer(grams.as_buffer(), np.uint64)
+                if not later.as_py():  # comes before the block's other rows; its repeated rows are equal
+                    first, key = own.copy(), (group.as_py(), block.as_py())
+                    out.append((node.as_py(), key[0], True))
+                    continue
+                assert key == (group.as_py(), block.as_py())
+                common = np.isin(own, first, assume_unique=True).sum()
+                out.append((node.as_py(), key[0], bool(common >= threshold * (len(own) + len(first) - common))))
+            node, root, near = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64()), pa.array(near, pa.bool_())], ["node", "root", "near"])
+
+    return mapped(rows, compare, "node long, root long, near boolean")
+
+
+def verified(docs: DataFrame, groups: DataFrame, threshold: float, words: int) -> DataFrame:
+    """node, links, root by pair of blocks; groups: node, doc_id, sha, grams, root."""
+    rows = gram_sets(docs, groups, words)
     blocks = F.greatest(F.ceil(F.col("n") / GROUP_BLOCK), F.ceil(F.col("total") / GROUP_GRAMS))
     rows = block_pairs(rows.withColumn("blocks", F.least(blocks, F.col("n"))).withColumnRenamed("root", "group").drop("n", "total"), "group", F.col("blocks"))
 
@@ -220,8 +256,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), sha256(F.coalesce(text, F.lit(""))).alias("sha"))
 
 
-def near_classes(read: DataFrame, threshold: float, recall: float, words: int) -> tuple[DataFrame, DataFrame]:
-    """The signed rows (doc_id, digest, ...), and for every digest its copies, links, class and whether its first row leads the class."""
+def near_classes(read: DataFrame, threshold: float, recall: float, words: int, count_links: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The signed rows (doc_id, digest, ...), and for every digest its copies, links (null: not counted), class and whether its first row leads the class."""
     bands, rows = choose_bands(threshold, recall)
     spread = 5 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5  # five standard deviations of the estimate
     signed = staged(sign(read, bands, rows, words).withColumn("row_no", F.monotonically_increasing_id()), "signed")
@@ -234,7 +270,13 @@ def near_classes(read: DataFrame, threshold: float, recall: float, words: int) -
     reps = staged(reps.select("node", "bands", "sketch"), "representatives")
     near = components(candidate_edges(reps, (threshold - spread) * bands * rows))
     groups = staged(classes.join(near, "node").select("node", F.col("copy_of").alias("doc_id"), "sha", "grams", "root"), "candidates")
-    checked = staged(verified(read, groups, threshold, words), "verified")
+    if count_links:
+        checked = staged(verified(read, groups, threshold, words), "verified")
+    else:
+        star = staged(near_first(read, groups, threshold, words), "near-first")
+        rest = groups.join(star.where("not near").select("root").distinct(), "root", "left_semi")
+        pairs = verified(read, rest, threshold, words).select("node", F.lit(None).cast("long").alias("links"), "root")
+        checked = staged(star.where("near").select("node", F.lit(None).cast("long").alias("links"), "root").unionByName(pairs), "verified")
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
     linked = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = classes.select("node", "copy_of").join(linked, "node")
@@ -247,7 +289,7 @@ def near_classes(read: DataFrame, threshold: float, recall: float, words: int) -
         "sha",
         "copy_of",
         "n_copies",
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        (F.coalesce("n_links", F.lit(0)) if count_links else F.lit(None).cast("long")).alias("n_links"),
         F.when(alone, F.col("copy_of")).otherwise(F.col("in_class.class_id")).alias("class_id"),
         (alone | (F.col("in_class.leader") == F.col("node"))).alias("leads"),
     )
@@ -269,7 +311,7 @@ def ngram_join(
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
     """Of every near-duplicate group the row with the least id, with all its columns; of rows that repeat an id and a text, that whose columns have the largest hash."""
     key, sha = fresh(docs, "key", "sha")
-    kept = near_classes(keyed(docs, id_col, text_col), threshold, recall, words)[1].where("leads").select(known(F.col("copy_of")).alias(key), F.col("sha").alias(sha))
+    kept = near_classes(keyed(docs, id_col, text_col), threshold, recall, words, count_links=False)[1].where("leads").select(known(F.col("copy_of")).alias(key), F.col("sha").alias(sha))
     rows = docs.withColumn(key, known(F.col(id_col))).withColumn(sha, sha256(F.coalesce(F.col(text_col), F.lit(""))))
     # one exchange of the texts, after repeated rows are combined where they are read, serves both
     return one_of_each(rows, [key, sha]).join(kept, [key, sha], "left_semi").select(*docs.columns)

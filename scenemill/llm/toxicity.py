@@ -20,6 +20,7 @@ columns stay as they are, whatever their names, but for columns of the names p_<
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -59,11 +60,17 @@ def word_features(word: str) -> tuple[int, ...]:
 
 def features(text: str | None) -> np.ndarray:
     """The hashed features of a text, sorted: a word or word start that occurs, one that does so TIERS[1] times, and so on."""
-    words = _WORD.findall((text or "").lower())
-    if not words:
+    times = Counter(_WORD.findall((text or "").lower()))
+    if not times:
         return np.empty(0, np.int64)
-    found, times = np.unique(np.fromiter(chain.from_iterable(map(word_features, words)), np.int64), return_counts=True)
-    return np.sort(np.concatenate([found[times >= least] * len(TIERS) + k for k, least in enumerate(TIERS)]))
+    each = list(map(word_features, times))
+    found = np.fromiter(chain.from_iterable(each), np.int64)
+    number = np.repeat(np.fromiter(times.values(), np.int64, len(times)), np.fromiter(map(len, each), np.int64, len(each)))
+    order = np.argsort(found)
+    found, number = found[order], number[order]
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    found, number = found[first] * len(TIERS), np.add.reduceat(number, first)
+    return np.sort(np.concatenate([found[number >= least] + k for k, least in enumerate(TIERS)]))
 
 
 def group_of(text: str | None) -> int:

@@ -103,14 +103,15 @@ class Logistic:
         self.features, self.weights, self.dense, self.bias = features, weights, dense, bias
 
     @classmethod
-    def fit(cls, x: Sparse, extra: np.ndarray, y: np.ndarray, most: int = 4000, penalty: float = 2e-4, rounds: int = 300, settled: float = 2e-3) -> Logistic:
-        """Ends after so many rounds, or when one moves the weights by no more than the share ``settled`` of their norm."""
+    def fit(cls, x: Sparse, extra: np.ndarray, y: np.ndarray, most: int = 4000, strength: float = 0.009, rounds: int = 300, settled: float = 2e-3) -> Logistic:
+        """The penalty falls with the root of the number of rows, as the noise of a weight does. Ends after so many rounds, or when one moves the weights by no more than the share ``settled`` of their norm."""
         k = extra.shape[1]
         if not len(y) or y.min() == y.max():
             share = float(y.mean()) if len(y) else 0.0
             return cls(np.empty(0, np.int64), np.empty(0), np.zeros(k), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
         chosen = telling_features(x, y, most)
         part, m, n = x.only(chosen), len(chosen), len(y)
+        penalty = strength / n**0.5
         w, bias = np.zeros(m + k), float(np.log(y.mean() / (1 - y.mean())))
         ahead, ahead_bias, t = w.copy(), bias, 1.0
         # the step is that of the largest row, found by a few power iterations
