@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .groups import Columns, solved
+
 
 def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the assignment of least total cost, by shortest augmenting paths."""
@@ -101,34 +103,46 @@ def grouped(rows: DataFrame, keys: list[str], columns: dict[str, T.DataType], so
 
 
 def nms(rows: DataFrame, keys: list[str], order: list[str], same: float = 0.65, cross: float = 0.90, most: int = 300) -> DataFrame:
-    """Adds ``kept``, ``fate`` (kept, same_class, cross_class or over_cap) and ``rank`` to rows with x1..y2, score, name.
+    """Adds ``fate`` (kept, same_class, cross_class or over_cap), ``rank`` and ``kept`` to rows with x1..y2, score, name.
 
-    A fold over each group's boxes, which come by falling score, then by box, name and ``order``: a box falls
-    to the first kept one that overlaps it by more than ``same`` (equal names) or ``cross``. Groups are images.
+    A group's boxes come by falling score, then by box, name and ``order``; a box falls to the first kept one
+    that overlaps it by more than ``same`` (equal names) or ``cross``. Groups are images: one matrix each.
     """
-    first = F.struct((-F.col("score")).alias("__s"), "x1", "y1", "x2", "y2", "name", *(c for c in order if c not in ("score", "x1", "y1", "x2", "y2", "name")))
-    turned = rows.withColumn("__turn", first).withColumn("__row", F.struct(*rows.columns))
-    packed = turned.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__turn", "__row"))).alias("__boxes"))
-    row_type = dict(turned.dtypes)["__row"]
-
-    def overlap(a: Column, b: Column) -> Column:
-        w, h = F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"])
-        common = F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
-        union = (a["x2"] - a["x1"]) * (a["y2"] - a["y1"]) + (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) - common
-        return F.when(union > 0, common / F.when(union > 0, union)).otherwise(0.0)
-
-    def step(done: Column, box: Column) -> Column:
-        mine = box["__row"]
-        beats = lambda k: (k["fate"] == "kept") & (overlap(k["row"], mine) > F.when(k["row"]["name"] == mine["name"], same).otherwise(cross))
-        by = F.filter(done, beats)
-        fate = F.when(F.size(by) == 0, "kept").when(F.try_element_at(by, F.lit(1))["row"]["name"] == mine["name"], "same_class").otherwise("cross_class")
-        return F.concat(done, F.array(F.struct(mine.alias("row"), fate.alias("fate"))))
-
-    folded = F.aggregate("__boxes", F.array().cast(f"array<struct<row:{row_type},fate:string>>"), step)
-    out = packed.select(F.posexplode(folded).alias("rank", "__out"), F.transform(folded, lambda k: k["fate"]).alias("__fates"))
-    standing = F.size(F.filter(F.slice("__fates", F.lit(1), F.col("rank")), lambda f: f == "kept"))
-    fate = F.when((F.col("__out.fate") == "kept") & (standing >= most), "over_cap").otherwise(F.col("__out.fate"))
-    return out.select("__out.row.*", fate.alias("fate"), "rank").withColumn("kept", F.col("fate") == "kept")
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("fate", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("kept", T.BooleanType())])
+
+    def solve(g: Columns) -> Columns:
+        boxes, name = np.column_stack([g[c].astype(float) for c in ("x1", "y1", "x2", "y2")]), g["name"].astype(object)
+        turn, by = suppressed(boxes, g["score"].astype(float), name, same, cross)
+        by, name = by[turn], name[turn]
+        kept = by < 0
+        fate = np.where(kept, "kept", np.where(name == g["name"].astype(object)[by], "same_class", "cross_class")).astype(object)
+        fate[kept & (np.cumsum(kept) > most)] = "over_cap"
+        return {**{n: g[n][turn] for n in names}, "fate": fate, "rank": np.arange(len(turn), dtype=np.int32), "kept": fate == "kept"}
+
+    return solved(rows, keys, order, solve, schema)
+
+
+def swept_matches(pairs: DataFrame, image: list[str], pred: str, gt: str, score: str, overlap: str, thresholds: tuple[float, ...]) -> DataFrame:
+    """image, pred, gt, threshold: the pairs that greedy matching takes at each threshold, in one pass over an image's pairs."""
+    kinds = dict(pairs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*image, pred, gt]) + ", threshold double"
+
+    def solve(g: Columns) -> Columns:
+        turn = np.lexsort((g[gt], -g[overlap], g[pred], -g[score]))
+        out: list[tuple[int, float]] = []
+        for t in thresholds:
+            left, right = set(), set()
+            for k in turn[g[overlap][turn] >= t]:
+                a, b = g[pred][k], g[gt][k]
+                if a not in left and b not in right:
+                    left.add(a)
+                    right.add(b)
+                    out.append((k, t))
+        at = np.array([k for k, _ in out], int)
+        return {**{c: g[c][at] for c in [*image, pred, gt]}, "threshold": np.array([t for _, t in out], float)}
+
+    return solved(pairs.select(*image, pred, gt, score, overlap), image, [pred, gt], solve, schema)
 
 
 def angular_nms(rows: DataFrame, keys: list[str], order: list[str], threshold: float = 0.5, same_class: bool = True, least_px: int = 16) -> DataFrame:

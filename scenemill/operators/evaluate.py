@@ -25,12 +25,15 @@ def precision_recall(matches: DataFrame, truths: DataFrame, by: list[str]) -> Da
     return out.withColumn("precision", ratio(F.col("tp"), F.col("n_pred"))).withColumn("recall", ratio(F.col("tp"), F.col("n_gt")))
 
 
-def iou_sweep(pairs: DataFrame, image: list[str], pred: str, gt: str, score: str, thresholds: tuple[float, ...] = (0.3, 0.5, 0.75)) -> DataFrame:
-    """threshold and matched pairs of a greedy matching at each threshold."""
-    from .assign import greedy_matches
-
-    one = lambda t: greedy_matches(pairs, image, pred, gt, score, "iou", t).groupBy(F.lit(t).alias("threshold")).agg(F.count(F.lit(1)).alias("tp"))
-    return reduce(DataFrame.unionByName, map(one, thresholds))
+def iou_sweep(pairs: DataFrame, preds: DataFrame, truths: DataFrame, image: list[str], pred: str, gt: str, score: str, thresholds: tuple[float, ...] = (0.3, 0.5, 0.75)) -> DataFrame:
+    """threshold, tp, n_pred, n_gt, precision and recall of a greedy matching at each threshold."""
+    from .assign import swept_matches
+
+    found = swept_matches(pairs, image, pred, gt, score, "iou", thresholds).groupBy("threshold").agg(F.count(F.lit(1)).alias("tp"))
+    n = preds.agg(F.count(F.lit(1)).alias("n_pred")).crossJoin(truths.agg(F.count(F.lit(1)).alias("n_gt")))  # one row each
+    levels = n.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    out = levels.join(found, "threshold", "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    return out.select("threshold", "tp", "n_pred", "n_gt", ratio(F.col("tp"), F.col("n_pred")).alias("precision"), ratio(F.col("tp"), F.col("n_gt")).alias("recall"))
 
 
 def box_errors(pairs: DataFrame, by: list[str]) -> DataFrame:

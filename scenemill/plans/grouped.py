@@ -38,7 +38,8 @@ def greedy_match(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def iou_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.iou_sweep(_candidates(spark, folder, 0.1), ["image"], "pred", "gt", "score")
+    boxes = inputs.image_boxes(spark, folder)
+    return evaluate.iou_sweep(_candidates(spark, folder, 0.1), boxes.where("odd = 1"), boxes.where("odd = 0"), ["image"], "pred", "gt", "score")
 
 
 @query()
