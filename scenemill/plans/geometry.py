@@ -183,7 +183,7 @@ def cropped_boxes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("image", "index", *_numbers(cx1=F.col("c.x1"), cx2=F.col("c.x2"), side=B.shorter_side(b)), *(F.col(f"g.{n}").alias(f"g{n}") for n in ("x1", "x2", "y1", "y2")), B.untruncated(b, F.lit(100), F.lit(80)).alias("whole"), B.oversize(b, last, F.lit(8000.0)).alias("oversize"))
 
 
-_FOOT = """f AS (SELECT o_orderkey, o_custkey % 40 AS frame, o_totalprice % 6.0::DOUBLE - 3.0::DOUBLE AS az1, az1 + 0.2::DOUBLE + o_custkey % 5 / 4.0::DOUBLE AS az2, o_totalprice % 1.0::DOUBLE - 0.5::DOUBLE AS el1, el1 + 0.6::DOUBLE AS el2 FROM orders)"""
+_FOOT = """f AS (SELECT o_orderkey, o_custkey AS frame, o_totalprice % 6.0::DOUBLE - 3.0::DOUBLE AS az1, az1 + 0.2::DOUBLE + o_custkey % 5 / 4.0::DOUBLE AS az2, o_totalprice % 1.0::DOUBLE - 0.5::DOUBLE AS el1, el1 + 0.6::DOUBLE AS el2 FROM orders)"""
 
 
 @query(f"""WITH {_FOOT},
@@ -196,7 +196,7 @@ def angular_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col
     az, el = c("o_totalprice") % 6.0 - 3.0, c("o_totalprice") % 1.0 - 0.5
     foot = F.struct(az.alias("az1"), (az + 0.2 + c("o_custkey") % 5 / 4.0).alias("az2"), el.alias("el1"), (el + 0.6).alias("el2"))
-    rows = table(spark, folder, "orders").select("o_orderkey", (c("o_custkey") % 40).alias("frame"), foot.alias("foot"))
+    rows = table(spark, folder, "orders").select("o_orderkey", c("o_custkey").alias("frame"), foot.alias("foot"))
     other = pairs.prefixed(rows, "b_")
     out = rows.join(other, (c("frame") == c("b_frame")) & (c("o_orderkey") != c("b_o_orderkey"))).withColumn("inside", B.angular_overlap(c("foot"), c("b_foot")))
     return out.where("inside > 0.5").select("o_orderkey", c("b_o_orderkey").alias("b_orderkey"), *_numbers(inside=c("inside")))
