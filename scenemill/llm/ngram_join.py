@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, known, mapped, staged
+from .common import discarded, fresh, known, mapped, staged
 from .exact_dedup import one_of_each, sha256
 from .graph import components, local_components
 from .shingles import WORDS, MinHash, choose_bands, shingle_sets
@@ -196,10 +196,10 @@ def gram_sets(docs: DataFrame, groups: DataFrame, words: int) -> DataFrame:
     return mapped(texts, fetch, schema)
 
 
-def near_first(docs: DataFrame, groups: DataFrame, threshold: float, words: int) -> DataFrame:
+def near_first(sets: DataFrame, threshold: float) -> DataFrame:
     """node, root and whether the member is similar to its group's least node, which goes to every block of the group."""
     blocks = F.greatest(F.ceil(F.col("n") / GROUP_BLOCK), F.ceil(F.col("total") / GROUP_GRAMS)).cast("int")
-    rows = gram_sets(docs, groups, words).withColumn("blocks", blocks).withColumn("first", F.col("node") == F.col("root"))
+    rows = sets.withColumn("blocks", blocks).withColumn("first", F.col("node") == F.col("root"))
     own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("block", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
     rows = rows.select(F.col("root").alias("group"), "block", (~F.col("first")).alias("later"), "node", "grams").repartition("group", "block").sortWithinPartitions("group", "block", "later", "node")
@@ -223,9 +223,8 @@ def near_first(docs: DataFrame, groups: DataFrame, threshold: float, words: int)
     return mapped(rows, compare, "node long, root long, near boolean")
 
 
-def verified(docs: DataFrame, groups: DataFrame, threshold: float, words: int) -> DataFrame:
-    """node, links, root by pair of blocks; groups: node, doc_id, sha, grams, root."""
-    rows = gram_sets(docs, groups, words)
+def verified(rows: DataFrame, threshold: float) -> DataFrame:
+    """node, links, root by pair of blocks; rows: what gram_sets() gives."""
     blocks = F.greatest(F.ceil(F.col("n") / GROUP_BLOCK), F.ceil(F.col("total") / GROUP_GRAMS))
     rows = block_pairs(rows.withColumn("blocks", F.least(blocks, F.col("n"))).withColumnRenamed("root", "group").drop("n", "total"), "group", F.col("blocks"))
 
@@ -271,12 +270,15 @@ def near_classes(read: DataFrame, threshold: float, recall: float, words: int, c
     near = components(candidate_edges(reps, (threshold - spread) * bands * rows))
     groups = staged(classes.join(near, "node").select("node", F.col("copy_of").alias("doc_id"), "sha", "grams", "root"), "candidates")
     if count_links:
-        checked = staged(verified(read, groups, threshold, words), "verified")
+        checked = staged(verified(gram_sets(read, groups, words), threshold), "verified")
     else:
-        star = staged(near_first(read, groups, threshold, words), "near-first")
-        rest = groups.join(star.where("not near").select("root").distinct(), "root", "left_semi")
-        pairs = verified(read, rest, threshold, words).select("node", F.lit(None).cast("long").alias("links"), "root")
-        checked = staged(star.where("near").select("node", F.lit(None).cast("long").alias("links"), "root").unionByName(pairs), "verified")
+        sets = staged(gram_sets(read, groups, words), "gram-sets")
+        star = staged(near_first(sets, threshold), "near-first")
+        rest = sets.join(star.where("not near").select("root").distinct(), "root", "left_semi").select(*sets.columns)
+        uncounted = F.lit(None).cast("long").alias("links")
+        pairs = verified(rest, threshold).select("node", uncounted, "root")
+        checked = staged(star.where("near").select("node", uncounted, "root").unionByName(pairs), "verified")
+        discarded(sets, star)
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
     linked = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = classes.select("node", "copy_of").join(linked, "node")
