@@ -552,4 +552,24 @@ nav/ul li 1 1 0 x3
 article p 3 0 1
 article p 4 0 1
 article p 26 0 1
+
+nav/ul li 1 1 0 x5
+div.ad div 14 0 0
+article h1 2 0 1
+article p 2 0 1
+footer div 3 0 0
+
+nav/ul li 2 2 0 x3
+div.advert div 25 0 0
+article h1 1 0 1
+article p 3 0 1
+
+div.promo div 40 0 0
+main h1 3 0 1
+main p 6 0 1
+footer p 5 0 0
+
+div.ad p 18 0 0
+article p 4 0 1
+article p 2 0 1
 """
