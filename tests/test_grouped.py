@@ -70,3 +70,21 @@ def test_stitch_chains_are_paths(spark):
         while (r["scene"], head) in back:
             head = back[r["scene"], head]
         assert r["chain"] == head
+
+
+def test_matches_by_class_and_by_distance(spark):
+    pairs = grouped._candidates(spark, FOLDER, 0.1).collect()
+    from scenemill.plans import inputs, joins
+
+    want = set()
+    for g in by_image(pairs).values():
+        for k in (0, 1):
+            want |= {t[:2] for t in taken([p for p in g if p["pred"] % 2 == k and p["iou"] >= 0.3], lambda p: (-p["score"], p["pred"], -p["iou"], p["gt"]))}
+    got = joins.best_overlap_labels(spark, FOLDER).collect()
+    assert {(r["image"], r["pred"]) for r in got if r["hit"]} == want and {(r["image"], r["pred"]) for r in got} == {(p["image"], p["pred"]) for p in pairs}
+
+    near = set()
+    for part in by_image(inputs.solid_boxes(spark, FOLDER).collect()).values():
+        found = [{"image": a["image"], "pred": a["index"], "gt": b["index"], "score": round(a["confidence"], 6), "d": ((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2) ** 0.5} for a in part if a["index"] % 2 == 1 for b in part if b["index"] % 2 == 0]
+        near |= taken([p for p in found if p["d"] <= 15], lambda p: (-p["score"], p["pred"], p["d"], p["gt"]))
+    assert {(r["image"], r["pred"], r["gt"]) for r in joins.nearest_matches(spark, FOLDER).collect()} == near
