@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import small
+
 #: The unit separator between the parts that a token hashes.
 SEPARATOR = chr(31)
 
@@ -25,13 +27,13 @@ def normal_category(name: Column) -> Column:
 def resolve_categories(rows: DataFrame, mapping: DataFrame, blocked: DataFrame, category: str = "category") -> DataFrame:
     """Adds ``resolved`` and ``state`` (mapped, blocked or unmapped) by tables of (name, target) and (name).
 
-    The tables are vocabularies; they are small by their nature and joined by broadcast.
+    The tables are vocabularies; they are broadcast if their counts say that they are small.
     """
     key = normal_category(F.col(category))
     known = mapping.select(normal_category(F.col("name")).alias("__name"), F.col("target").alias("resolved")).dropDuplicates(["__name"])
     stopped = blocked.select(normal_category(F.col("name")).alias("__stop")).distinct().withColumn("__blocked", F.lit(True))
     out = rows.withColumn("__key", key)
-    out = out.join(F.broadcast(known), F.col("__key") == F.col("__name"), "left").join(F.broadcast(stopped), F.col("__key") == F.col("__stop"), "left")
+    out = out.join(small(known), F.col("__key") == F.col("__name"), "left").join(small(stopped), F.col("__key") == F.col("__stop"), "left")
     state = F.when(F.col("__blocked"), "blocked").when(F.col("resolved").isNull(), "unmapped").otherwise("mapped")
     out = out.withColumn("state", state).withColumn("resolved", F.when(F.col("state") == "mapped", F.col("resolved")))
     return out.drop("__key", "__name", "__stop", "__blocked")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import geometry as G
+from .quantiles import matched, percentiles
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -91,8 +92,10 @@ def tuned_thresholds(rows: DataFrame, by: list[str], score: str, tp: str, beta:
     sums = rows.groupBy(*by, bucket.alias("__b")).agg(F.count_if(F.col(tp)).alias("__tp"), F.count_if(~F.col(tp)).alias("__fp"))
     grid = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda t: t)
     packed = sums.groupBy(*by).agg(F.collect_list(F.struct("__b", "__tp", "__fp")).alias("__sums"), F.sum("__tp").alias("__all"))
-    most = rows.groupBy(*by).agg(F.percentile(F.when(~F.col(tp), F.col(score)), F.lit(0.95)).alias("__p95"), *([F.max(total).alias("__total")] if total else []))
-    out = packed.join(most, by).withColumn("__t", F.explode(grid))
+    high = percentiles(rows.where(~F.col(tp)), by, score, (0.95,)).select(*by, F.col("percentiles")[0].alias("__p95"))
+    out = matched(packed, high, by, "left").withColumn("__t", F.explode(grid))
+    if total:
+        out = matched(out, rows.groupBy(*by).agg(F.max(total).alias("__total")), by)
     at = lambda c: F.aggregate(F.filter("__sums", lambda s: s["__b"] >= F.col("__t")), F.lit(0).cast("long"), lambda n, s: n + s[c])
     out = out.withColumn("__n_tp", at("__tp")).withColumn("__n_fp", at("__fp"))
     recall = F.col("__n_tp") / (F.col("__total") if total else F.col("__all"))
@@ -107,9 +110,9 @@ def tuned_thresholds(rows: DataFrame, by: list[str], score: str, tp: str, beta:
 
 def spread(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, median and the 10th and 90th percentile of a value; null of nothing."""
-    p = F.percentile(F.col(value), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = rows.groupBy(*by).agg(F.count(value).alias("n"), p.alias("__p"))
-    return out.select(*by, "n", F.col("__p")[1].alias("median"), F.col("__p")[0].alias("p10"), F.col("__p")[2].alias("p90"))
+    out = rows.groupBy(*by).agg(F.count(value).alias("n"))
+    p = F.col("percentiles")
+    return matched(out, percentiles(rows, by, value, (0.1, 0.5, 0.9)), by, "left").select(*by, "n", p[1].alias("median"), p[0].alias("p10"), p[2].alias("p90"))
 
 
 def histogram(rows: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import small
+from .staging import kept
+
 
 def cumulative_masks(points: DataFrame, tests: dict[str, Column]) -> DataFrame:
     """Adds for each test, in order, a column that holds where it and all before it do; nothing is dropped."""
@@ -42,9 +45,24 @@ def thinned(points: DataFrame, keys: list[str], ring: str, order: list[str], str
 
 
 def strided(rows: DataFrame, order: list[str], stride: int, offset: int, keys: list[str] | None = None) -> DataFrame:
-    """One in ``stride`` rows from an offset on, in a canonical order within keys."""
-    nth = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order))
-    return rows.withColumn("__nth", nth).where((F.col("__nth") - 1 - offset) % stride == 0).drop("__nth")
+    """One in ``stride`` rows from an offset on, in a canonical order, within keys if there are any."""
+    if keys:
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+        numbered = rows.withColumn("__nth", nth)
+    else:
+        numbered = in_order(rows, order, "__nth")
+    return numbered.where((F.col("__nth") - offset) % stride == 0).drop("__nth")
+
+
+def in_order(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Adds each row's place, from 0, in the order of all rows: places in ranges of it, and the sizes of the ranges before."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    placed = kept(dealt.withColumn("__range", F.shiftright("__id", 33)).withColumn(out, F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id"))
+    # a row a partition
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return placed.join(small(starts), "__range").withColumn(out, F.col(out) + F.col("__start")).drop("__range", "__start")
 
 
 def seeded_offset(seed: int, stride: int) -> int:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
+from .joins import small
+from .quantiles import matched
+
 LEAST_POINTS = 5
 FOOTPRINT_FACTOR = 2.0
 LEAST_CONFIDENCE = 0.5
@@ -33,10 +37,10 @@ def tier_of(returns_ok: Column, spatial_ok: Column, confidence: Column, least: f
 def gated(rows: DataFrame, priors: DataFrame, category: str = "category") -> DataFrame:
     """Adds returns_ok, spatial_ok and tier to rows with n_points, w, l and confidence.
 
-    ``priors`` has a row (category, mu_w, mu_l) for each class, which a taxonomy bounds, so it is broadcast.
+    ``priors`` has a row (category, mu_w, mu_l) for each class, which a taxonomy bounds; it is broadcast if its count says so.
     """
     known = priors.select(F.col(category).alias("__class"), "mu_w", "mu_l")
-    out = rows.join(F.broadcast(known), F.col(category) == F.col("__class"), "left")
+    out = rows.join(small(known), F.col(category) == F.col("__class"), "left")
     out = out.withColumn("returns_ok", returns_gate(F.col("n_points"))).withColumn("spatial_ok", spatial_gate(F.col("w"), F.col("l"), F.col("mu_w"), F.col("mu_l")))
     return out.withColumn("tier", tier_of(F.col("returns_ok"), F.col("spatial_ok"), F.col("confidence"))).drop("__class", "mu_w", "mu_l")
 
@@ -44,10 +48,9 @@ def gated(rows: DataFrame, priors: DataFrame, category: str = "category") -> Dat
 def class_priors(rows: DataFrame, category: str, value: str, percentiles: tuple[float, ...] = (0.05, 0.5, 0.95), least: int = 2) -> DataFrame:
     """n, mean, sample deviation, exact percentiles and maximum by class; classes of too few rows are left out."""
     names = [f"p{round(p * 100):02d}" for p in percentiles]
-    # one pass gives all percentiles: their buffers are the distinct values with counts
-    found = F.percentile(F.col(value), F.array(*map(F.lit, percentiles)))
-    out = rows.groupBy(category).agg(F.count(value).alias("n"), F.avg(value).alias("mu"), F.stddev_samp(value).alias("sigma"), found.alias("__p"), F.max(value).alias("most"))
-    return out.where(F.col("n") >= least).select(category, "n", "mu", "sigma", *(F.col("__p")[i].alias(n) for i, n in enumerate(names)), "most")
+    out = rows.groupBy(category).agg(F.count(value).alias("n"), F.avg(value).alias("mu"), F.stddev_samp(value).alias("sigma"), F.max(value).alias("most"))
+    out = matched(out.where(F.col("n") >= least), quantiles.percentiles(rows, [category], value, percentiles), [category], "left")
+    return out.select(category, "n", "mu", "sigma", *(F.col("percentiles")[i].alias(n) for i, n in enumerate(names)), "most")
 
 
 def prior_gaps(priors: DataFrame, wanted: DataFrame, category: str) -> DataFrame:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import small
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -42,12 +44,12 @@ def inflated(boxes: DataFrame, priors: DataFrame, category: str = "category", po
     """Adds new_w, new_l, new_h, new_x, new_y, new_z, outcome and fraction (the share of the new volume that was grown).
 
     Boxes have x, y, z, yaw, w, l, h, n_points and the sensor's sensor_x, sensor_y in the same frame; priors a
-    row (category, mu_w, mu_l, mu_h, sigma_w, sigma_l, sigma_h) for each class, bounded by a taxonomy and so
-    broadcast. Outcomes: enough_points, no_prior, sensor_inside, would_enclose_sensor, unchanged, inflated;
+    row (category, mu_w, mu_l, mu_h, sigma_w, sigma_l, sigma_h) for each class, bounded by a taxonomy and
+    broadcast if their count says so. Outcomes: enough_points, no_prior, sensor_inside, would_enclose_sensor, unchanged, inflated;
     a box that isn't inflated keeps its values.
     """
     p = priors.select(F.col(category).alias("__class"), "mu_w", "mu_l", "mu_h", "sigma_w", "sigma_l", "sigma_h")
-    out = boxes.join(F.broadcast(p), F.col(category) == F.col("__class"), "left")
+    out = boxes.join(small(p), F.col(category) == F.col("__class"), "left")
     c = F.col
     # the prior's axes are its short and its long one
     swapped = c("mu_w") > c("mu_l")

@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import bin_of
 from ..functions.text import token
+from .quantiles import matched, percentiles
+from .staging import kept
+
+
+#: Rows that a seeded generator draws from on the driver, at most.
+DRAWN = 1_000_000
 
 
 def human_merged(pipeline: DataFrame, human: DataFrame, coverage: DataFrame, sample: str = "sample_token") -> DataFrame:
@@ -56,8 +62,8 @@ def density_by_frame(frames: DataFrame, boxes: DataFrame, key: str, radius: floa
 
 def stratified(rows: DataFrame, value: str, quantiles: tuple[float, ...], names: tuple[str, ...], out: str = "stratum") -> DataFrame:
     """Adds the stratum of a value among the (linear) quantiles of all rows; the edges are one row, broadcast."""
-    edges = rows.agg(F.percentile(F.col(value), F.array(*map(F.lit, quantiles))).alias("__edges"))
-    bins = rows.crossJoin(F.broadcast(edges))
+    edges = percentiles(rows, [], value, quantiles).withColumnRenamed("percentiles", "__edges")
+    bins = matched(rows, edges, [], "left")
     return bins.withColumn(out, F.element_at(F.array(*map(F.lit, names)), bin_of(F.col(value), F.col("__edges")) + 1)).drop("__edges")
 
 
@@ -85,13 +91,15 @@ def allocated(cells: DataFrame, keys: list[str], fraction: float, count: str = "
 def chosen(rows: DataFrame, cells: DataFrame, keys: list[str], id_col: str, seed: int = 20260812) -> DataFrame:
     """Of each cell as many rows as allocated: those whose seeded hash comes first, the same on every run."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))), id_col))
-    out = rows.withColumn("__rank", rank).join(F.broadcast(cells.select(*keys, "selected")), keys)
+    out = matched(rows.withColumn("__rank", rank), cells.select(*keys, "selected"), keys)
     return out.where(F.col("__rank") <= F.col("selected")).drop("__rank", "selected")
 
 
 def chosen_by_generator(rows: DataFrame, cells: DataFrame, keys: list[str], id_col: str, seed: int = 20260812) -> list:
-    """The ids a seeded generator draws without replacement, cell after cell; for a set that fits the driver."""
+    """The ids a seeded generator draws without replacement, cell after cell, on the driver: more than ``DRAWN`` rows raise, chosen() takes any."""
     rng, out = np.random.default_rng(seed), []
+    if rows.limit(DRAWN + 1).count() > DRAWN:
+        raise ValueError(f"more than {DRAWN} rows to draw from on the driver; use chosen()")
     ids = rows.select(*keys, id_col).orderBy(*keys, id_col).toPandas()
     wanted = {tuple(r[k] for k in keys): r["selected"] for r in cells.collect()}
     for key, part in ids.groupby(keys, sort=True):
@@ -154,9 +162,11 @@ def stitched(pieces: DataFrame, scene: list[str], track: str, most_gap: int = 3,
     """before, after, gap, cost of the joins: the cheapest assignment of each gap, shorter gaps first.
 
     Candidate pairs of all gaps are joined in Spark; only they reach the scene's assignment, which runs
-    gap by gap, an end once used being taken.
+    gap by gap, an end once used being taken. Ends that no candidates connect are assigned apart, so a matrix
+    is as large as one tangle of candidates, not as a scene.
     """
     from .assign import assignment
+    from .cluster import least_connected
 
     pairs = reduce(DataFrame.unionByName, [stitch_pairs(pieces, scene, track, g, **gates) for g in range(1, most_gap + 1)])
     kinds = dict(pairs.dtypes)
@@ -166,15 +176,18 @@ def stitched(pieces: DataFrame, scene: list[str], track: str, most_gap: int = 3,
         taken_before, taken_after, found = set(), set(), []
         for _, part in sorted(pdf.groupby("gap")):
             part = part[~part["before"].isin(taken_before) & ~part["after"].isin(taken_after)]
-            rows, columns = sorted(part["before"].unique()), sorted(part["after"].unique())
-            cost = np.full((len(rows), len(columns)), 10.0)
-            i, j = part["before"].map({v: k for k, v in enumerate(rows)}).to_numpy(int), part["after"].map({v: k for k, v in enumerate(columns)}).to_numpy(int)
-            cost[i, j] = part["cost"]
-            for r, c in zip(*assignment(cost)):
-                if cost[r, c] <= 1:
-                    taken_before.add(rows[r])
-                    taken_after.add(columns[c])
-                    found.append((rows[r], columns[c]))
+            before, i = np.unique(part["before"].to_numpy(), return_inverse=True)
+            after, j = np.unique(part["after"].to_numpy(), return_inverse=True)
+            tangle = least_connected(len(before) + len(after), i, len(before) + j)[i]
+            order = np.argsort(tangle, kind="stable")
+            for mine in np.split(order, np.flatnonzero(np.diff(tangle[order])) + 1) if len(part) else []:
+                rows, r = np.unique(i[mine], return_inverse=True)
+                columns, c = np.unique(j[mine], return_inverse=True)
+                cost = np.full((len(rows), len(columns)), 10.0)
+                cost[r, c] = part["cost"].to_numpy()[mine]
+                pairs = [(rows[r], columns[c]) for r, c in zip(*assignment(cost)) if cost[r, c] <= 1]
+                found += [(before[a], after[b]) for a, b in pairs]
+            taken_before, taken_after = {a for a, _ in found}, {b for _, b in found}
         kept = pd.DataFrame(found, columns=["before", "after"])
         return pdf.merge(kept, on=["before", "after"])[[*scene, "before", "after", "gap", "cost"]]
 
@@ -188,7 +201,7 @@ def chains_of(pieces: DataFrame, joins: DataFrame, scene: list[str], track: str)
     while True:
         up = links.select(*scene, F.col(track).alias("chain"), F.col("chain").alias("__up"))
         longer = links.join(up, [*scene, "chain"]).select(*scene, track, F.col("__up").alias("chain"), (F.col("__up") != F.col("chain")).alias("__moved"))
-        longer = longer.checkpoint() if longer.sparkSession.conf.get("spark.checkpoint.dir", None) else longer.cache()
+        longer = kept(longer)
         links = longer.drop("__moved")
         if longer.where("__moved").isEmpty():
             return links

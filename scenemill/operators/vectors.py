@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import cosine
+from .quantiles import matched, percentiles
+from .staging import kept
 
 #: Vectors that are compared at once: a block of queries against a block of all.
 BLOCK = 2048
+#: Vectors of a reference that is broadcast, at most.
+REFERENCE = 100_000
 
 
 def nearest_in_class(vectors: DataFrame, id_col: str, vector: str, label: str, k: int = 3, digits: int = 5) -> DataFrame:
@@ -63,9 +67,11 @@ def cosine_matrix_pairs(a: DataFrame, b: DataFrame, keys: list[str], va: str, vb
 def neighbour_distances(vectors: DataFrame, reference: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
     """id and distance to the k-th nearest reference vector other than itself.
 
-    The reference is a bounded sample that the caller states; it is collected and broadcast, and every
+    The reference is a sample of at most ``REFERENCE`` rows, more raise; it is collected and broadcast, and every
     row is compared to it in blocks.
     """
+    if reference.limit(REFERENCE + 1).count() > REFERENCE:
+        raise ValueError(f"a reference of more than {REFERENCE} rows")
     ref = reference.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).toPandas().sort_values("id")
     ids, y = ref["id"].to_numpy(), np.stack(ref["v"].to_numpy()) if len(ref) else np.empty((0, 0))
     shared = vectors.sparkSession.sparkContext.broadcast((ids, y))
@@ -87,8 +93,7 @@ def neighbour_distances(vectors: DataFrame, reference: DataFrame, id_col: str, v
 
 def outliers(distances: DataFrame, share: float = 0.75, digits: int = 6) -> DataFrame:
     """Adds ``score`` (1 - the median distance over its own, at least 0) and ``outlier`` (score over ``share``'s quantile of scores)."""
-    d = distances.withColumn("distance", F.round("distance", digits))
-    middle = d.agg(F.percentile("distance", F.lit(0.5)).alias("__m"))
-    d = d.crossJoin(F.broadcast(middle)).withColumn("score", F.round(F.greatest(F.lit(0.0), 1 - F.col("__m") / F.greatest("distance", F.lit(1e-12))), digits)).drop("__m")
-    edge = d.agg(F.percentile("score", F.lit(share)).alias("__e"))
-    return d.crossJoin(F.broadcast(edge)).withColumn("outlier", F.col("score") > F.col("__e")).drop("__e")
+    d = kept(distances.withColumn("distance", F.round("distance", digits)))
+    quantile = lambda c, at, out: percentiles(d, [], c, (at,)).select(F.col("percentiles")[0].alias(out))
+    d = matched(d, quantile("distance", 0.5, "__m"), [], "left").withColumn("score", F.round(F.greatest(F.lit(0.0), 1 - F.col("__m") / F.greatest("distance", F.lit(1e-12))), digits)).drop("__m")
+    return matched(d, quantile("score", share, "__e"), [], "left").withColumn("outlier", F.col("score") > F.col("__e")).drop("__e")

@@ -31,7 +31,7 @@ def qa_gate_tiers(spark: SparkSession, folder: str) -> DataFrame:
     """Detections by class and tier; one class has no prior, and footprints may be 1.5 times theirs."""
     rows = inputs.solid_boxes(spark, folder)
     priors = rows.where("category <> '10'").groupBy("category").agg(F.round(F.avg("w"), 6).alias("mu_w"), F.round(F.avg("l"), 6).alias("mu_l"))
-    out = rows.join(F.broadcast(priors), "category", "left")
+    out = rows.join(small(priors), "category", "left")
     spatial = gate.spatial_gate(F.col("w"), F.col("l"), F.col("mu_w"), F.col("mu_l"), 1.5)
     tier = gate.tier_of(gate.returns_gate(F.col("n_points")), spatial, F.col("confidence"))
     return out.select("category", tier.alias("tier")).groupBy("category", "tier").agg(F.count(F.lit(1)).alias("n"))
