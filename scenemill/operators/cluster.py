@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -19,19 +20,40 @@ def canonical(points: np.ndarray, index: np.ndarray) -> np.ndarray:
     return np.lexsort((index, points[:, 2], points[:, 1], points[:, 0]))
 
 
-def near_pairs(xy: np.ndarray, eps: float, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """All ordered pairs, each point with itself too, at most eps apart; points are looked up in a strip of x."""
-    order = np.argsort(xy[:, 0], kind="stable")
-    x = xy[order, 0]
-    left, right = [], []
-    for a in range(0, len(x), block):
-        b = min(len(x), a + block)
-        lo, hi = np.searchsorted(x, x[a] - eps, "left"), np.searchsorted(x, x[b - 1] + eps, "right")
-        one, many = xy[order[a:b]], xy[order[lo:hi]]
-        i, j = np.nonzero(((one[:, None] - many[None]) ** 2).sum(axis=2) <= eps * eps)
-        left.append(order[a + i])
-        right.append(order[lo + j])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int), np.empty(0, int))
+#: Candidate pairs that are measured at once.
+PAIRS = 1 << 20
+
+
+def near_pairs(xy: np.ndarray, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All ordered pairs, each point with itself too, at most eps apart, in portions of bounded size.
+
+    Points are sorted by rows of a grid of side eps and by x within a row; a point meets those of three rows
+    whose x lies within eps, so the work follows the number of near points and not that of all.
+    """
+    x, row = xy[:, 0], np.floor((xy[:, 1] - xy[:, 1].min()) / eps).astype(np.int64)
+    order = np.lexsort((x, row))
+    x, row, at = x[order], row[order], xy[order]
+    rows, first = np.unique(row, return_index=True)
+    ends = np.append(first[1:], len(row))
+    # one number a point that sorts as (row, x) does, so bounds are found for all points at once
+    width = np.ptp(x) + 4 * eps
+    place = np.repeat(np.arange(len(rows)), ends - first) * width + (x - x.min())
+    slack = eps * (1 + 1e-9) + 1e-12 * width * len(rows)
+    for step in (-1, 0, 1):
+        other = np.searchsorted(rows, row + step)
+        there = np.flatnonzero((other < len(rows)) & (rows[np.minimum(other, len(rows) - 1)] == row + step))
+        centre = other[there] * width + (x[there] - x.min())
+        lo, hi = np.searchsorted(place, centre - slack, "left"), np.searchsorted(place, centre + slack, "right")
+        upto = np.cumsum(hi - lo)
+        begin = 0
+        while begin < len(there):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, "right")))
+            n = hi[begin:end] - lo[begin:end]
+            i = np.repeat(there[begin:end], n)
+            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[begin:end], n)
+            near = ((at[i] - at[j]) ** 2).sum(axis=1) <= eps * eps
+            yield order[i[near]], order[j[near]]
+            begin = end
 
 
 def least_connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,15 +79,17 @@ def dbscan(xy: np.ndarray, eps: float, least: int = 3) -> np.ndarray:
     n = len(xy)
     if not n:
         return np.empty(0, int)
-    a, b = near_pairs(xy, eps)
-    core = np.bincount(a, minlength=n) >= least
-    both = core[a] & core[b]
-    root = least_connected(n, a[both], b[both])
+    core = sum(np.bincount(a, minlength=n) for a, _ in near_pairs(xy, eps)) >= least
+    root = np.arange(n)
+    for a, b in near_pairs(xy, eps):
+        both = core[a] & core[b] & (a < b)
+        root = least_connected(n, np.concatenate([a[both], np.arange(n)]), np.concatenate([b[both], root]))
     firsts = np.unique(root[core])
     label = np.full(n, len(firsts))
     label[core] = np.searchsorted(firsts, root[core])
-    edge = core[b] & ~core[a]
-    np.minimum.at(label, a[edge], label[b[edge]])
+    for a, b in near_pairs(xy, eps):
+        edge = core[b] & ~core[a]
+        np.minimum.at(label, a[edge], label[b[edge]])
     label[label == len(firsts)] = NOISE
     return label
 
