@@ -174,12 +174,18 @@ def track_scene(g: Columns, s: Settings = Settings()) -> Columns:
     Columns: keyframe, t_ns, index, name, x, y, z, w, l, h, yaw; embedding and points (arrays) may be there.
     Results: track, event (birth or match), hits, velocity, speed and the filter's yaw of every detection.
     """
+    out, tracks, _ = track_on(g, s, [], 0)
+    stable = {t.number for t in tracks if t.hits >= s.stable_hits}
+    out["stable"] = np.array([k in stable for k in out["track"]], bool)
+    return out
+
+
+def track_on(g: Columns, s: Settings, tracks: list[Track], number: int) -> tuple[Columns, list[Track], int]:
+    """track_scene() for the next keyframes of a scene that has these tracks, the next of which gets the number; stable is left out."""
     n = len(g["keyframe"])
     out = {"track": np.zeros(n, np.int64), "event": np.empty(n, object), "hits": np.zeros(n, np.int64), "iou": np.full(n, np.nan), **{c: np.zeros(n) for c in ("vx", "vy", "vz", "filter_yaw")}}
     flat = np.column_stack([g[c].astype(float) for c in ("x", "y", "w", "l", "yaw")])
     embedding, clouds = g.get("embedding"), g.get("points")
-    tracks: list[Track] = []
-    number = 0
     for key in np.unique(g["keyframe"]):
         rows = np.flatnonzero(g["keyframe"] == key)
         now = float(g["t_ns"][rows[0]]) / 1e9
@@ -225,9 +231,7 @@ def track_scene(g: Columns, s: Settings = Settings()) -> Columns:
             if i not in met:
                 t.misses += 1
                 t.dead = t.misses > s.most_misses
-    stable = {t.number for t in tracks if t.hits >= s.stable_hits}
-    out["stable"] = np.array([k in stable for k in out["track"]])
-    return out
+    return out, tracks, number
 
 
 def _write(out: Columns, r: int, t: Track) -> None:
@@ -239,12 +243,17 @@ def _write(out: Columns, r: int, t: Track) -> None:
 TRACK_FIELDS = "track bigint, event string, hits bigint, iou double, vx double, vy double, vz double, filter_yaw double, stable boolean"
 
 
-def tracked(detections: DataFrame, scene: list[str], settings: Settings = Settings()) -> DataFrame:
-    """scene, keyframe, index and TRACK_FIELDS of every detection; see track_scene()."""
+def tracking_columns(detections: DataFrame, scene: list[str]) -> tuple[list[str], list[str], str]:
+    """The columns that name a detection, those a tracker reads, and the schema of its results."""
     kinds = dict(detections.dtypes)
     keep = [*scene, "keyframe", "index"]
     used = [*keep, "t_ns", "name", "x", "y", "z", "w", "l", "h", "yaw", *(c for c in ("embedding", "points") if c in kinds)]
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", " + TRACK_FIELDS
+    return keep, used, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", " + TRACK_FIELDS
+
+
+def tracked(detections: DataFrame, scene: list[str], settings: Settings = Settings()) -> DataFrame:
+    """scene, keyframe, index and TRACK_FIELDS of every detection; see track_scene()."""
+    keep, used, schema = tracking_columns(detections, scene)
     return solved(detections.select(*used), scene, ["keyframe", "index"], lambda g: {**{k: g[k] for k in keep}, **track_scene(g, settings)}, schema)
 
 
