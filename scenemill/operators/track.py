@@ -301,11 +301,14 @@ def track_images(g: Columns, s: ImageSettings = ImageSettings()) -> Columns:
     Columns, in order of frame and index: frame, index, name, score, x1..y2, frame_area. Results: detected
     rows with their track, and recovered rows (source "recovered") with the last box, a decayed score and hops.
     """
+    return track_images_on(g, s, [], 0)[0]
+
+
+def track_images_on(g: Columns, s: ImageSettings, live: list[dict], number: int) -> tuple[Columns, list[dict], int]:
+    """track_images() for the next frames of a camera that has these tracks, the next of which gets the number."""
     box = np.column_stack([g[c].astype(float) for c in ("x1", "y1", "x2", "y2")])
     size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
-    live: list[dict] = []
     rows: list[tuple] = []
-    number = 0
     for frame in np.unique(g["frame"]):
         here = np.flatnonzero(g["frame"] == frame)
         names = g["name"][here].astype(object)
@@ -347,15 +350,21 @@ def track_images(g: Columns, s: ImageSettings = ImageSettings()) -> Columns:
         live = sorted(after + kept, key=lambda t: (-t["score"], t["number"]))[: s.capacity]
         live.sort(key=lambda t: t["number"])
     names_ = ("frame", "index", "track", "source", "hops", "score", "x1", "y1", "x2", "y2", "name")
-    return {n: np.array([r[k] for r in rows], object) for k, n in enumerate(names_)}
+    return {n: np.array([r[k] for r in rows], object) for k, n in enumerate(names_)}, live, number
 
 
-def tracked_images(boxes: DataFrame, keys: list[str], settings: ImageSettings = ImageSettings()) -> DataFrame:
+def image_columns(boxes: DataFrame, keys: list[str]) -> tuple[list[str], str]:
+    """The columns that the tracker of image boxes reads, and the schema of its results."""
     kinds = dict(boxes.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", frame {kinds['frame']}, index int, track int, source string, hops int, score double, x1 double, y1 double, x2 double, y2 double, name string"
+    used = [*keys, "frame", "index", "name", "score", "x1", "y1", "x2", "y2", "frame_area"]
+    return used, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", frame {kinds['frame']}, index int, track int, source string, hops int, score double, x1 double, y1 double, x2 double, y2 double, name string"
+
+
+def tracked_images(boxes: DataFrame, keys: list[str], settings: ImageSettings = ImageSettings()) -> DataFrame:
+    used, schema = image_columns(boxes, keys)
 
     def solve(g: Columns) -> Columns:
         out = track_images(g, settings)
         return {**{k: np.repeat(g[k][:1], len(out["frame"])) for k in keys}, **out}
 
-    return solved(boxes.select(*keys, "frame", "index", "name", "score", "x1", "y1", "x2", "y2", "frame_area"), keys, ["frame", "index"], solve, schema)
+    return solved(boxes.select(*used), keys, ["frame", "index"], solve, schema)
