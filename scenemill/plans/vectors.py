@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import vectors
+from ..operators import density, filters, vectors
 from ..sources.tables import table
 from .registry import query
 
@@ -35,3 +35,10 @@ def ood_knn_outlier(spark: SparkSession, folder: str) -> DataFrame:
     """Outliers by the distance (1 - cosine) to the third nearest other vector of the class."""
     far = _nearest(spark, folder).where("rank = 3").select("id", (1 - F.col("cosine")).alias("distance"))
     return vectors.outliers(far)
+
+
+@query()
+def density_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters and outliers by density in a sample, one in ten vectors from a seeded offset on."""
+    sample = filters.strided(table(spark, folder, "embeddings"), ["vec_id"], 10, filters.seeded_offset(20260812, 10))
+    return density.density_outliers(sample, [], "vec_id", "embedding").withColumn("score", F.round("score", 6))
