@@ -72,13 +72,44 @@ def polygon_area(p: np.ndarray) -> float:
     return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
 
 
-def polygons(runs: DataFrame, keys: list[str], least_area: float = 20.0) -> DataFrame:
-    """keys, polygon (x1, y1, x2, ...) and area of the outer outlines of every mask that are large enough."""
+def simplified(p: np.ndarray, tolerance: float) -> np.ndarray:
+    """A closed outline without corners that lie within a tolerance of the lines between those that stay.
+
+    Douglas and Peucker's method on the two halves between the first corner and the one farthest from it.
+    """
+    if tolerance <= 0 or len(p) < 4:
+        return p
+    far = int(((p - p[0]) ** 2).sum(axis=1).argmax())
+    closed = np.concatenate([p, p[:1]])
+    stays = np.zeros(len(closed), bool)
+    stays[[0, far, -1]] = True
+    spans = [(0, far), (far, len(p))]
+    while spans:
+        a, b = spans.pop()
+        if b - a < 2:
+            continue
+        base, between = closed[b] - closed[a], closed[a + 1 : b] - closed[a]
+        share = np.clip(between @ base / max(base @ base, 1e-300), 0, 1)
+        away = np.sqrt(((between - share[:, None] * base) ** 2).sum(axis=1))
+        k = int(away.argmax())
+        if away[k] > tolerance:
+            stays[a + 1 + k] = True
+            spans += [(a, a + 1 + k), (a + 1 + k, b)]
+    return p[stays[:-1]]
+
+
+def polygons(runs: DataFrame, keys: list[str], least_area: float = 20.0, tolerance: float = 0.0) -> DataFrame:
+    """keys, polygon (x1, y1, x2, ...) and area of the outer outlines of every mask that are large enough.
+
+    Outlines follow the edges of pixels; with a tolerance they are simplified() after their area is taken, and left out
+    where fewer than three corners stay.
+    """
     kinds = dict(runs.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", polygon array<double>, area double"
 
     def solve(g: Columns) -> Columns:
-        kept = [(p, a) for p in outlines(g["row"], g["col_lo"], g["col_hi"]) if (a := polygon_area(p)) >= least_area]
+        large = [(p, a) for p in outlines(g["row"], g["col_lo"], g["col_hi"]) if (a := polygon_area(p)) >= least_area]
+        kept = [(q, a) for p, a in large if len(q := simplified(p, tolerance)) > 2]
         return {**{k: np.repeat(g[k][:1], len(kept)) for k in keys}, "polygon": np.array([*(p.ravel() for p, _ in kept), None], object)[:-1], "area": np.array([a for _, a in kept])}
 
     return solved(runs.select(*keys, "row", "col_lo", "col_hi"), keys, ["row", "col_lo"], solve, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bin_of
+from ..functions.geometry import luma
 from ..functions.text import token
 from .quantiles import matched, percentiles
 from .staging import kept
@@ -60,6 +61,13 @@ def density_by_frame(frames: DataFrame, boxes: DataFrame, key: str, radius: floa
     return frames.join(near, key, "left").withColumn("density", F.coalesce("__n", F.lit(0)) / F.lit(math.pi * radius**2)).drop("__n")
 
 
+def illumination(frames: DataFrame, pixels: DataFrame, key: str, brightest: float) -> DataFrame:
+    """The mean luma of every frame's pixels (r, g, b) that aren't brighter than a limit; null where there are none."""
+    light = luma(F.col("r"), F.col("g"), F.col("b"))
+    means = pixels.groupBy(key).agg(F.avg(F.when(light <= brightest, light)).alias("illumination"))
+    return frames.join(means, key, "left")
+
+
 def stratified(rows: DataFrame, value: str, quantiles: tuple[float, ...], names: tuple[str, ...], out: str = "stratum") -> DataFrame:
     """Adds the stratum of a value among the (linear) quantiles of all rows; the edges are one row, broadcast."""
     edges = percentiles(rows, [], value, quantiles).withColumnRenamed("percentiles", "__edges")

@@ -61,6 +61,19 @@ def density_by_frame(spark: SparkSession, folder: str) -> DataFrame:
     return release.density_by_frame(frames, inputs.solid_boxes(spark, folder), "image").withColumn("density", F.round("density", 9))
 
 
+@query("""
+WITH p AS (SELECT l_orderkey AS frame, (l_partkey % 256)::DOUBLE AS r, (l_suppkey % 256)::DOUBLE AS g, l_quantity::DOUBLE AS b FROM lineitem),
+y AS (SELECT frame, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS y FROM p)
+SELECT o_orderkey AS frame, round((SELECT avg(y) FROM y WHERE frame = o_orderkey AND y <= 60), 6) AS illumination FROM orders
+""")
+def illumination(spark: SparkSession, folder: str) -> DataFrame:
+    """The light of every order's frame, whose pixels are its lines."""
+    c = F.col
+    pixels = table(spark, folder, "lineitem").select(c("l_orderkey").alias("frame"), (c("l_partkey") % 256).cast("double").alias("r"), (c("l_suppkey") % 256).cast("double").alias("g"), c("l_quantity").cast("double").alias("b"))
+    out = release.illumination(table(spark, folder, "orders").select(c("o_orderkey").alias("frame")), pixels, "frame", 60.0)
+    return out.withColumn("illumination", F.round("illumination", 6))
+
+
 @query("""
 WITH d AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n FROM orders GROUP BY ALL), e AS (SELECT quantile_cont(n, [0.25, 0.5, 0.75]) AS e FROM d)
 SELECT day, n, ['Low', 'Medium', 'High', 'Extreme'][1 + (n >= e[1])::INTEGER + (n >= e[2])::INTEGER + (n >= e[3])::INTEGER] AS stratum FROM d, e

@@ -108,13 +108,14 @@ def read_coco(spark: SparkSession, path: str) -> DataFrame:
 def write_coco(annotations: DataFrame, path: str) -> None:
     """One COCO document a document: file_name, category, bbox and score become images, categories and annotations.
 
-    Numbers are by name, from 1 on, so equal rows give equal documents. Each document is a file of its own.
+    A column ``segmentation`` (polygons of x1, y1, x2, ...) goes into the annotations if there is one. Numbers are by name, from 1 on, so equal rows give equal documents. Each document is a file of its own.
     """
-    rows = annotations.select("document", "file_name", "category", "bbox", "score")
-    packed = rows.groupBy("document").agg(F.array_sort(F.collect_set("file_name")).alias("f"), F.array_sort(F.collect_set("category")).alias("c"), F.sort_array(F.collect_list(F.struct("file_name", "category", "bbox", "score"))).alias("a"))
+    outline = [c for c in annotations.columns if c == "segmentation"]
+    rows = annotations.select("document", "file_name", "category", "bbox", "score", *outline)
+    packed = rows.groupBy("document").agg(F.array_sort(F.collect_set("file_name")).alias("f"), F.array_sort(F.collect_set("category")).alias("c"), F.sort_array(F.collect_list(F.struct("file_name", "category", "bbox", "score", *outline))).alias("a"))
     images = F.transform("f", lambda n, i: F.struct((i + 1).cast("long").alias("id"), n.alias("file_name")))
     names = F.transform("c", lambda n, i: F.struct((i + 1).cast("long").alias("id"), n.alias("name")))
-    marks = F.transform("a", lambda a, i: F.struct((i + 1).cast("long").alias("id"), F.array_position("f", a["file_name"]).alias("image_id"), F.array_position("c", a["category"]).alias("category_id"), a["bbox"].alias("bbox"), F.struct(a["score"].alias("score")).alias("attributes")))
+    marks = F.transform("a", lambda a, i: F.struct((i + 1).cast("long").alias("id"), F.array_position("f", a["file_name"]).alias("image_id"), F.array_position("c", a["category"]).alias("category_id"), a["bbox"].alias("bbox"), *(a[c].alias(c) for c in outline), F.struct(a["score"].alias("score")).alias("attributes")))
     packed.select("document", images.alias("images"), names.alias("categories"), marks.alias("annotations")).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 

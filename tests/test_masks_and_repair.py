@@ -53,6 +53,29 @@ def test_outlines_enclose_the_mask(spark):
     assert [(sorted(zip(r.polygon[::2], r.polygon[1::2])), r.area) for r in got] == [([(4.0, 5.0), (4.0, 15.0), (10.0, 5.0), (10.0, 15.0)], 60.0)]
 
 
+def distance_to_outline(q, p):
+    nearest = np.inf
+    for a, b in zip(p, np.roll(p, -1, axis=0)):
+        share = np.clip((q - a) @ (b - a) / max((b - a) @ (b - a), 1e-12), 0, 1)
+        nearest = min(nearest, np.hypot(*(q - a - share * (b - a))))
+    return nearest
+
+
+def test_simplified_outlines_stay_near(spark):
+    y, x = np.mgrid[0:60, 0:60]
+    disc = (x - 30) ** 2 + (y - 28) ** 2 < 22**2
+    (whole,) = masks.outlines(*runs_of(disc))
+    for tolerance in (0.5, 1.0, 3.0):
+        p = masks.simplified(whole, tolerance)
+        assert 3 <= len(p) < len(whole) and {tuple(c) for c in p} <= {tuple(c) for c in whole}
+        assert all(distance_to_outline(q, p) <= tolerance + 1e-9 for q in whole)
+    assert len(masks.simplified(whole, 0.0)) == len(whole)
+    line = np.zeros((60, 60), bool)
+    line[3, 2:40] = True
+    got = {r.mask: r for r in masks.polygons(frame(spark, [disc, line]), ["mask"], tolerance=1.5).collect()}
+    assert got[0].area == disc.sum() and len(got[0].polygon) < 2 * len(whole) and 1 not in got
+
+
 def test_hull_and_mask():
     corners = np.array([[2, 3], [12, 3], [12, 9], [2, 9], [7, 6]], float)
     plane = np.zeros((20, 20), bool)

@@ -139,6 +139,11 @@ def test_coco_round_trip(spark, tmp_path):
     back = documents.read_coco(spark, str(tmp_path / "coco" / "*.json"))
     key = lambda r: (r.file_name, r.category, r.bbox, r.score)
     assert sorted(map(key, back.collect()), key=str) == sorted(map(key, rows.collect()), key=str)
+    outlined = rows.withColumn("segmentation", F.array(F.array(*map(F.lit, (0.0, 0.0, 2.0, 0.0, 2.0, 3.0)))))
+    documents.write_coco(outlined, str(tmp_path / "outlined"))
+    found = [a for f in (tmp_path / "outlined").glob("*.json") for a in json.loads(f.read_text())["annotations"]]
+    assert len(found) == 3 and all(a["segmentation"] == [[0.0, 0.0, 2.0, 0.0, 2.0, 3.0]] for a in found)
+    assert documents.read_coco(spark, str(tmp_path / "outlined" / "*.json")).count() == 3
 
 
 def test_cuboid_documents_round_trip(spark, tmp_path):
