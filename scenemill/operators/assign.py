@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .cluster import least_connected
 from .groups import Columns, solved
 
 
@@ -58,10 +59,35 @@ def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row_of[columns][order], columns[order]
 
 
+def chosen_pairs(left: np.ndarray, right: np.ndarray, cost: np.ndarray, refused: float) -> np.ndarray:
+    """Positions of the candidate pairs that the cheapest assignment takes; a pair that is no candidate costs ``refused``.
+
+    Candidates fall into tangles that share no end. Each is assigned apart, and a candidate alone is taken, so
+    a matrix is as large as one tangle.
+    """
+    if not len(left):
+        return np.empty(0, int)
+    lefts, i = np.unique(left, return_inverse=True)
+    j = np.unique(right, return_inverse=True)[1]
+    tangle, size = np.unique(least_connected(len(lefts) + j.max() + 1, i, len(lefts) + j)[i], return_inverse=True, return_counts=True)[1:]
+    order = np.argsort(tangle, kind="stable")
+    taken = [order[size[tangle[order]] == 1]]
+    order = order[size[tangle[order]] > 1]
+    for mine in np.split(order, np.flatnonzero(np.diff(tangle[order])) + 1):
+        rows, a = np.unique(i[mine], return_inverse=True)
+        columns, b = np.unique(j[mine], return_inverse=True)
+        matrix, number = np.full((len(rows), len(columns)), refused), np.full((len(rows), len(columns)), -1)
+        matrix[a, b], number[a, b] = cost[mine], mine
+        found = number[assignment(matrix)]
+        taken.append(found[found >= 0])
+    return np.sort(np.concatenate(taken))
+
+
 def matched(score: np.ndarray, allowed: np.ndarray, refused: float = 1e6) -> list[tuple[int, int]]:
     """Pairs of the assignment of most total score among the allowed ones."""
-    rows, columns = assignment(np.where(allowed, -score, refused))
-    return [(int(i), int(j)) for i, j in zip(rows, columns) if allowed[i, j]]
+    i, j = np.nonzero(allowed)
+    k = chosen_pairs(i, j, -score[i, j], refused)
+    return [(int(a), int(b)) for a, b in zip(i[k], j[k])]
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import bin_of
 from ..functions.geometry import luma
 from ..functions.text import token
+from .assign import chosen_pairs
 from .quantiles import matched, percentiles
 from .staging import kept
 
@@ -173,8 +174,6 @@ def stitched(pieces: DataFrame, scene: list[str], track: str, most_gap: int = 3,
     gap by gap, an end once used being taken. Ends that no candidates connect are assigned apart, so a matrix
     is as large as one tangle of candidates, not as a scene.
     """
-    from .assign import assignment
-    from .cluster import least_connected
 
     pairs = reduce(DataFrame.unionByName, [stitch_pairs(pieces, scene, track, g, **gates) for g in range(1, most_gap + 1)])
     kinds = dict(pairs.dtypes)
@@ -184,17 +183,8 @@ def stitched(pieces: DataFrame, scene: list[str], track: str, most_gap: int = 3,
         taken_before, taken_after, found = set(), set(), []
         for _, part in sorted(pdf.groupby("gap")):
             part = part[~part["before"].isin(taken_before) & ~part["after"].isin(taken_after)]
-            before, i = np.unique(part["before"].to_numpy(), return_inverse=True)
-            after, j = np.unique(part["after"].to_numpy(), return_inverse=True)
-            tangle = least_connected(len(before) + len(after), i, len(before) + j)[i]
-            order = np.argsort(tangle, kind="stable")
-            for mine in np.split(order, np.flatnonzero(np.diff(tangle[order])) + 1) if len(part) else []:
-                rows, r = np.unique(i[mine], return_inverse=True)
-                columns, c = np.unique(j[mine], return_inverse=True)
-                cost = np.full((len(rows), len(columns)), 10.0)
-                cost[r, c] = part["cost"].to_numpy()[mine]
-                pairs = [(rows[r], columns[c]) for r, c in zip(*assignment(cost)) if cost[r, c] <= 1]
-                found += [(before[a], after[b]) for a, b in pairs]
+            k = chosen_pairs(part["before"].to_numpy(), part["after"].to_numpy(), part["cost"].to_numpy(), 10.0)
+            found += list(zip(part["before"].to_numpy()[k], part["after"].to_numpy()[k]))
             taken_before, taken_after = {a for a, _ in found}, {b for _, b in found}
         kept = pd.DataFrame(found, columns=["before", "after"])
         return pdf.merge(kept, on=["before", "after"])[[*scene, "before", "after", "gap", "cost"]]
