@@ -226,9 +226,8 @@ def pixel(p: Column, k: Column, width: Column, height: Column, min_depth: float
     """
     z = F.when(p["z"] > min_depth, p["z"])
     u, v = k["fx"] * p["x"] / z + k["cx"], k["fy"] * p["y"] / z + k["cy"]
-    # without a division: a filter on it that is put into a join's condition has to stay short enough to be compiled
-    across, down = k["fx"] * p["x"] + k["cx"] * p["z"], k["fy"] * p["y"] + k["cy"] * p["z"]
-    inside = (p["z"] > min_depth) & (across >= 0) & (across < width * p["z"]) & (down >= 0) & (down < height * p["z"])
+    # on the pixels themselves: a test multiplied out rounds otherwise, and takes points on an edge that they say are outside
+    inside = (u >= 0) & (u < width) & (v >= 0) & (v < height)
     inside = F.coalesce(inside, F.lit(False))  # one test: as several, the optimiser would infer ever more from them
     return F.struct(u.alias("u"), v.alias("v"), p["z"].alias("depth"), inside.alias("in_image"))
 
