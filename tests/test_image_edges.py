@@ -31,3 +31,7 @@ def on_edges(spark, folder, name):
 
 def test_projected_points_on_an_edge(spark, folder):
     on_edges(spark, folder, "project_points")
+
+
+def test_contested_points_on_an_edge(spark, folder):
+    on_edges(spark, folder, "point_contest")
