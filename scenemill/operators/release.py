@@ -144,27 +144,68 @@ def fragments(rows: DataFrame, scene: list[str], track: str, step: str, position
     )
 
 
-def stitch_pairs(pieces: DataFrame, scene: list[str], track: str, gap: int, base_gate: float = 2.0, slack: float = 1.0, size_ratio: float = 2.0) -> DataFrame:
+def _cell(x: Column, side: float) -> Column:
+    """The number of a grid's cell along one axis; what lies too far out for whole numbers is in the outermost ones."""
+    return F.floor(F.greatest(F.least(x / side, F.lit(1e12)), F.lit(-1e12)))
+
+
+def _axes(place: Column) -> dict[str, Column]:
+    """The first two coordinates of a place, which may have one or more than two."""
+    return {"i": F.get(place, F.lit(0)).cast("double"), "j": F.coalesce(F.get(place, F.lit(1)).cast("double"), F.lit(0.0))}
+
+
+def stitch_pairs(pieces: DataFrame, scene: list[str], track: str, gap: int | list[int], base_gate: float = 2.0, slack: float = 1.0, size_ratio: float = 2.0) -> DataFrame:
     """Predecessor and successor fragments that a gap of so many steps may join, with the cost of distance over gate.
 
-    An equi-join on scene, category and step: the successor starts exactly ``gap`` steps after the end.
+    The successor starts exactly ``gap`` steps after the end; of several gaps each has a gate of its own. All joins are
+    equi-joins on scene, category and step, and on a grid's cells: a predecessor looks for starts about the place where
+    it would be by then, a successor for ends about the place where it would have been, one without velocity about its
+    own end. So the work follows the number of near fragments, not that of all pairs of a step. A fragment looks once
+    for each time that the others of the step have, which is one where steps are keyframes.
     """
-    a = pieces.select(*scene, "category", F.col(track).alias("before"), (F.col("last") + gap).alias("start"), "last_t", "last_at", "last_v", F.col("area").alias("area_a"))
+    gates = {g: base_gate + slack * (g - 1) for g in ([gap] if isinstance(gap, int) else gap)}
+    side = 2 * max(gates.values())
+    each = F.explode(F.array(*(F.struct(F.lit(g).alias("gap"), F.lit(gate).alias("gate")) for g, gate in gates.items())))
+    a = pieces.select(*scene, "category", F.col(track).alias("before"), "last", "last_t", "last_at", "last_v", F.col("area").alias("area_a"), each.alias("__g"))
+    a = a.withColumn("start", F.col("last") + F.col("__g.gap")).select("*", "__g.*").drop("last", "__g")
     b = pieces.select(*scene, "category", F.col(track).alias("after"), F.col("first").alias("start"), "first_t", "first_at", "first_v", F.col("area").alias("area_b"))
-    out = a.join(b, [*scene, "category", "start"])
+    step, grid = [*scene, "category", "start"], ["__t", "__untimed", "__i", "__j"]
+    dt = F.col("first_t") - F.col("last_t")
+
+    def coasted(p: str, v: str, by: Column) -> Column:
+        return F.zip_with(p, v, lambda x, y: x + y * by)
+
+    def distance(p: Column, q: Column) -> Column:
+        return F.sqrt(F.aggregate(F.zip_with(p, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+    def timed(rows: DataFrame, t: str) -> DataFrame:
+        return rows.withColumn("__t", F.coalesce(F.col(t), F.lit(0))).withColumn("__untimed", F.col(t).isNull())
+
+    def placed(rows: DataFrame, at: str, t: str) -> DataFrame:
+        return timed(rows, t).withColumns({f"__{n}": _cell(x, side) for n, x in _axes(F.col(at)).items()})
+
+    def looking(rows: DataFrame, times: DataFrame, p: str, v: str, by: Column, t: str) -> DataFrame:
+        """The rows once for each time of the others, in every cell that the gate reaches about their place at it."""
+        out = rows.join(times.distinct(), step).withColumn("__p", coasted(p, v, by))
+        out = out.withColumn("__p", F.when(F.col("__p").isNull() | F.exists("__p", F.isnull), F.col(p)).otherwise(F.col("__p")))
+        reach = F.col("gate") * 1.001  # so that rounding loses no pair
+        for n, x in _axes(F.col("__p")).items():
+            out = out.withColumn(f"__{n}", F.explode(F.sequence(_cell(x - reach, side), _cell(x + reach, side))))
+        return timed(out, t).drop("__p", t)
+
+    ahead = looking(a, b.select(*step, "first_t"), "last_at", "last_v", dt, "first_t").join(placed(b, "first_at", "first_t"), [*step, *grid])
+    back = looking(b, a.select(*step, "gap", "gate", "last_t"), "first_at", "first_v", -dt, "last_t").join(placed(a.drop("gate"), "last_at", "last_t"), [*step, "gap", *grid])
+    forward = F.when(F.col("last_v").isNotNull(), distance(coasted("last_at", "last_v", dt), F.col("first_at")))
+    backward = F.when(F.col("first_v").isNotNull(), distance(coasted("first_at", "first_v", -dt), F.col("last_at")))
+    still = distance(F.col("last_at"), F.col("first_at"))
+    cost = F.coalesce(F.least(forward, backward), still) / F.col("gate")
+    found_ahead = F.coalesce(F.coalesce(forward, still) / F.col("gate") <= 1, F.lit(False))
     ratio = F.col("area_b") / F.col("area_a")
-    out = out.where(ratio.between(1 / size_ratio, size_ratio))
 
-    def distance(p: Column, v: Column | None, q: Column, dt: Column) -> Column:
-        moved = p if v is None else F.zip_with(p, v, lambda x, y: x + y * dt)
-        return F.sqrt(F.aggregate(F.zip_with(moved, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    def near(found: DataFrame, mine: Column) -> DataFrame:
+        return found.where(ratio.between(1 / size_ratio, size_ratio)).where(mine).withColumn("cost", cost).where("cost <= 1").select(*scene, "before", "after", "gap", "cost")
 
-    dt = F.col("first_t") - F.col("last_t")
-    forward = F.when(F.col("last_v").isNotNull(), distance(F.col("last_at"), F.col("last_v"), F.col("first_at"), dt))
-    backward = F.when(F.col("first_v").isNotNull(), distance(F.col("first_at"), F.col("first_v"), F.col("last_at"), -dt))
-    d = F.coalesce(F.least(forward, backward), distance(F.col("last_at"), None, F.col("first_at"), dt))
-    gate = base_gate + slack * (gap - 1)
-    return out.withColumn("cost", d / gate).where("cost <= 1").select(*scene, "before", "after", F.lit(gap).alias("gap"), "cost")
+    return near(ahead, found_ahead).unionByName(near(back, ~found_ahead))
 
 
 def stitched(pieces: DataFrame, scene: list[str], track: str, most_gap: int = 3, **gates: float) -> DataFrame:
@@ -175,7 +216,7 @@ def stitched(pieces: DataFrame, scene: list[str], track: str, most_gap: int = 3,
     is as large as one tangle of candidates, not as a scene.
     """
 
-    pairs = reduce(DataFrame.unionByName, [stitch_pairs(pieces, scene, track, g, **gates) for g in range(1, most_gap + 1)])
+    pairs = stitch_pairs(kept(pieces), scene, track, list(range(1, most_gap + 1)), **gates)
     kinds = dict(pairs.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*scene, "before", "after", "gap", "cost"])
 
@@ -195,7 +236,7 @@ def stitched(pieces: DataFrame, scene: list[str], track: str, most_gap: int = 3,
 def chains_of(pieces: DataFrame, joins: DataFrame, scene: list[str], track: str) -> DataFrame:
     """scene, track and chain, the first fragment that joins lead back to. Joins form paths, halved in each round."""
     links = pieces.select(*scene, track).join(joins.select(*scene, F.col("after").alias(track), "before"), [*scene, track], "left")
-    links = links.select(*scene, track, F.coalesce("before", track).alias("chain"))
+    links = kept(links.select(*scene, track, F.coalesce("before", track).alias("chain")))
     while True:
         up = links.select(*scene, F.col(track).alias("chain"), F.col("chain").alias("__up"))
         longer = links.join(up, [*scene, "chain"]).select(*scene, track, F.col("__up").alias("chain"), (F.col("__up") != F.col("chain")).alias("__moved"))
