@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -144,6 +145,10 @@ def fragments(rows: DataFrame, scene: list[str], track: str, step: str, position
     )
 
 
+#: Cells that a fragment looks at, at most; one whose places lie further apart meets all of its step.
+LOOKS = 64
+
+
 def _cell(x: Column, side: float) -> Column:
     """The number of a grid's cell along one axis; what lies too far out for whole numbers is in the outermost ones."""
     return F.floor(F.greatest(F.least(x / side, F.lit(1e12)), F.lit(-1e12)))
@@ -160,8 +165,9 @@ def stitch_pairs(pieces: DataFrame, scene: list[str], track: str, gap: int | lis
     The successor starts exactly ``gap`` steps after the end; of several gaps each has a gate of its own. All joins are
     equi-joins on scene, category and step, and on a grid's cells: a predecessor looks for starts about the place where
     it would be by then, a successor for ends about the place where it would have been, one without velocity about its
-    own end. So the work follows the number of near fragments, not that of all pairs of a step. A fragment looks once
-    for each time that the others of the step have, which is one where steps are keyframes.
+    own end. So the work follows the number of near fragments, not that of all pairs of a step. Where the others of a
+    step have many times, all the cells between the first and the last place are looked at; a fragment that would have
+    to look at more than ``LOOKS`` is compared with all of the step.
     """
     gates = {g: base_gate + slack * (g - 1) for g in ([gap] if isinstance(gap, int) else gap)}
     side = 2 * max(gates.values())
@@ -169,7 +175,7 @@ def stitch_pairs(pieces: DataFrame, scene: list[str], track: str, gap: int | lis
     a = pieces.select(*scene, "category", F.col(track).alias("before"), "last", "last_t", "last_at", "last_v", F.col("area").alias("area_a"), each.alias("__g"))
     a = a.withColumn("start", F.col("last") + F.col("__g.gap")).select("*", "__g.*").drop("last", "__g")
     b = pieces.select(*scene, "category", F.col(track).alias("after"), F.col("first").alias("start"), "first_t", "first_at", "first_v", F.col("area").alias("area_b"))
-    step, grid = [*scene, "category", "start"], ["__t", "__untimed", "__i", "__j"]
+    step, grid = [*scene, "category", "start"], ["__wide", "__i", "__j"]
     dt = F.col("first_t") - F.col("last_t")
 
     def coasted(p: str, v: str, by: Column) -> Column:
@@ -178,23 +184,29 @@ def stitch_pairs(pieces: DataFrame, scene: list[str], track: str, gap: int | lis
     def distance(p: Column, q: Column) -> Column:
         return F.sqrt(F.aggregate(F.zip_with(p, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
-    def timed(rows: DataFrame, t: str) -> DataFrame:
-        return rows.withColumn("__t", F.coalesce(F.col(t), F.lit(0))).withColumn("__untimed", F.col(t).isNull())
-
-    def placed(rows: DataFrame, at: str, t: str) -> DataFrame:
-        return timed(rows, t).withColumns({f"__{n}": _cell(x, side) for n, x in _axes(F.col(at)).items()})
-
-    def looking(rows: DataFrame, times: DataFrame, p: str, v: str, by: Column, t: str) -> DataFrame:
-        """The rows once for each time of the others, in every cell that the gate reaches about their place at it."""
-        out = rows.join(times.distinct(), step).withColumn("__p", coasted(p, v, by))
-        out = out.withColumn("__p", F.when(F.col("__p").isNull() | F.exists("__p", F.isnull), F.col(p)).otherwise(F.col("__p")))
+    def placed(rows: DataFrame, at: str) -> DataFrame:
+        cell = [_cell(x, side).alias(f"__{n}") for n, x in _axes(F.col(at)).items()]
+        whole = [F.lit(0).cast("long").alias(c) for c in ("__i", "__j")]
+        both = F.array(F.struct(F.lit(False).alias("__wide"), *cell), F.struct(F.lit(True).alias("__wide"), *whole))
+        return rows.withColumn("__at", F.explode(both)).select("*", "__at.*").drop("__at")
+
+    def looking(rows: DataFrame, times: DataFrame, t: str, p: str, v: str, by: Callable[[Column], Column]) -> DataFrame:
+        """The rows in every cell that the gate reaches about their places at the others' times."""
+        others = times.groupBy(*(c for c in times.columns if c != t)).agg(F.min(t).alias("__t0"), F.max(t).alias("__t1"), F.bool_or(F.col(t).isNull()).alias("__untimed"))
+        out = rows.join(others, step).withColumn("__p0", coasted(p, v, by(F.col("__t0")))).withColumn("__p1", coasted(p, v, by(F.col("__t1"))))
+        out = out.withColumn("__moves", F.coalesce(~F.exists("__p0", F.isnull), F.lit(False)))
         reach = F.col("gate") * 1.001  # so that rounding loses no pair
-        for n, x in _axes(F.col("__p")).items():
-            out = out.withColumn(f"__{n}", F.explode(F.sequence(_cell(x - reach, side), _cell(x + reach, side))))
-        return timed(out, t).drop("__p", t)
-
-    ahead = looking(a, b.select(*step, "first_t"), "last_at", "last_v", dt, "first_t").join(placed(b, "first_at", "first_t"), [*step, *grid])
-    back = looking(b, a.select(*step, "gap", "gate", "last_t"), "first_at", "first_v", -dt, "last_t").join(placed(a.drop("gate"), "last_at", "last_t"), [*step, "gap", *grid])
+        for n in "ij":
+            x = [F.when(F.col("__moves"), _axes(F.col(c))[n]) for c in ("__p0", "__p1")] + [F.when(~F.col("__moves") | F.col("__untimed"), _axes(F.col(p))[n])]
+            out = out.withColumn(f"__{n}0", _cell(F.least(*x) - reach, side)).withColumn(f"__{n}1", _cell(F.greatest(*x) + reach, side))
+        out = out.withColumn("__wide", reduce(Column.__mul__, [(F.col(f"__{n}1") - F.col(f"__{n}0") + 1).cast("double") for n in "ij"]) > LOOKS)
+        for n in "ij":
+            ends = [F.when(F.col("__wide"), F.lit(0).cast("long")).otherwise(F.col(f"__{n}{k}")) for k in (0, 1)]
+            out = out.withColumn(f"__{n}", F.explode(F.sequence(*ends)))
+        return out.select(*rows.columns, *(c for c in others.columns if c in ("gap", "gate")), *grid)
+
+    ahead = looking(a, b.select(*step, "first_t"), "first_t", "last_at", "last_v", lambda t: t - F.col("last_t")).join(placed(b, "first_at"), [*step, *grid])
+    back = looking(b, a.select(*step, "gap", "gate", "last_t"), "last_t", "first_at", "first_v", lambda t: -(F.col("first_t") - t)).join(placed(a.drop("gate"), "last_at"), [*step, "gap", *grid])
     forward = F.when(F.col("last_v").isNotNull(), distance(coasted("last_at", "last_v", dt), F.col("first_at")))
     backward = F.when(F.col("first_v").isNotNull(), distance(coasted("first_at", "first_v", -dt), F.col("last_at")))
     still = distance(F.col("last_at"), F.col("first_at"))

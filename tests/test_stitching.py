@@ -63,7 +63,8 @@ def test_pairs_are_those_of_all_pairs(spark, axes):
     rng, rows = random.Random(axes), []
     place = lambda: [rng.choice((0.0, 2.0, -4.0, 1e7)) + rng.choice((0.0, rng.uniform(-6, 6))) for _ in range(axes)]
     speed = lambda: rng.choice((None, [None] * axes, [rng.uniform(-9, 9) for _ in range(axes)]))
-    time = lambda step: rng.choice((None, step * 0.5, step * 0.5, step * 0.5 + 0.1))
+    # of steps with times of their own, those of the third run lie so far apart that whole steps are compared
+    time = lambda step: rng.choice((None, step * 0.5, step * 0.5, step * 0.5 + 0.1, step * 0.5 + rng.random() * (100 if axes == 3 else 0.1)))
     for track in range(400):
         first = rng.randrange(6)
         last = first + rng.randrange(3)
@@ -84,11 +85,12 @@ def test_pairs_are_those_of_all_pairs(spark, axes):
 
 
 def test_far_fragments_of_one_step_are_not_compared(spark):
-    """40,000 tracks of one scene, all cut at one step: 1.6 billion pairs of a step, of which 40,000 are near."""
+    """40,000 tracks of one scene, each with times of its own, all cut at one step: 1.6 billion pairs of it, of which 40,000 are near."""
     n = 40_000
-    at = F.array((F.col("id") % n) * 10.0, F.lit(0.0))
-    piece = [F.lit(0).alias("scene"), F.col("id").alias("track"), *(F.when(F.col("id") < n, lo).otherwise(hi).alias(c) for c, lo, hi in (("first", 0, 2), ("last", 1, 3), ("first_t", 0.0, 2.0), ("last_t", 1.0, 3.0)))]
-    piece += [at.alias("first_at"), at.alias("last_at"), *(F.array(F.lit(0.0), F.lit(0.0)).alias(c) for c in ("first_v", "last_v")), F.lit("car").alias("category"), F.lit(8.0).alias("area")]
+    at, late = F.array((F.col("id") % n) * 10.0, F.lit(0.0)), (F.col("id") % n) * 1e-6
+    piece = [F.lit(0).alias("scene"), F.col("id").alias("track"), *(F.when(F.col("id") < n, lo).otherwise(hi).alias(c) for c, lo, hi in (("first", 0, 2), ("last", 1, 3)))]
+    piece += [(F.when(F.col("id") < n, lo).otherwise(hi) + late).alias(c) for c, lo, hi in (("first_t", 0.0, 2.0), ("last_t", 1.0, 3.0))]
+    piece += [at.alias("first_at"), at.alias("last_at"), *(F.array(F.lit(0.0), F.lit(0.3)).alias(c) for c in ("first_v", "last_v")), F.lit("car").alias("category"), F.lit(8.0).alias("area")]
     context = spark.sparkContext
     limit = threading.Timer(60, context.cancelAllJobs)
     limit.start()
