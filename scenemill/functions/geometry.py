@@ -197,25 +197,36 @@ def box_to_ego(box: Column, ego: Column | Pose) -> Column:
     return F.struct(inverse_transform(ego, box["t"]).struct.alias("t"), q.struct.alias("q"), box["size"].alias("size"))
 
 
+def rotation_of_yaw(yaw: Column) -> Column:
+    """Rows of the rotation about z, as a struct r00 to r22: the angle's own cosine and sine, not those of its half."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    entries = ((F.cos(yaw), -F.sin(yaw), zero), (F.sin(yaw), F.cos(yaw), zero), (zero, zero, one))
+    return F.struct(*(e.alias(f"r{i}{j}") for i, row in enumerate(entries) for j, e in enumerate(row)))
+
+
 def with_camera_matrix(frames: DataFrame, ego_at_scan: str, ego_at_image: str, camera: str, out: str = "matrix") -> DataFrame:
-    """Adds the motion from the ego frame at scan time into the camera frame at image time: a struct m00 to m23.
+    """Adds the motion from the ego frame at scan time into the camera frame at image time: a struct of the rotation
+    m00 to m22, the ego's way e0 to e2 and the camera's place c0 to c2, both along the axes of the scan.
 
     ``frames`` has a row for each scan and camera, and is joined to the points afterwards: the four hops (ego,
-    global, ego, camera) are composed once a row of it, and a point costs three dot products.
+    global, ego, camera) are composed once a row of it, and a point costs two sums and three dot products. A point
+    is moved before it is turned: a turned translation would bring its rounding to every point. ``camera`` has a
+    rotation ``q`` (quaternion) or ``r`` (its matrix, r00 to r22).
     """
     q = lambda c: F.col(f"{c}.q")
-    rows = frames.withColumn("__s", unit(q(ego_at_scan)).struct).withColumn("__i", conjugate(unit(q(ego_at_image))).struct).withColumn("__c", conjugate(unit(q(camera))).struct)
-    rows = rows.withColumn("__q", quat_product(F.col("__i"), F.col("__s")).struct).withColumn("__t", rotate(F.col("__i"), subtract(F.col(f"{ego_at_scan}.t"), F.col(f"{ego_at_image}.t"))).struct)
-    rows = rows.withColumn("__q", quat_product(F.col("__c"), F.col("__q")).struct).withColumn("__t", rotate(F.col("__c"), subtract(F.col("__t"), F.col(f"{camera}.t"))).struct)
-    r = rows.withColumn("__r", rotation_matrix(F.col("__q")))
-    entries = [F.col(f"__r.r{i}{j}").alias(f"m{i}{j}") for i in range(3) for j in range(3)] + [F.col(f"__t.{c}").alias(f"m{i}3") for i, c in enumerate("xyz")]
-    return r.withColumn(out, F.struct(*entries)).drop("__s", "__i", "__c", "__q", "__t", "__r")
+    own = F.col(f"{camera}.r") if "r" in frames.schema[camera].dataType.names else rotation_matrix(q(camera))
+    rows = frames.withColumn("__s", unit(q(ego_at_scan)).struct).withColumn("__i", conjugate(unit(q(ego_at_image))).struct).withColumn("__c", own)
+    rows = rows.withColumn("__q", quat_product(F.col("__i"), F.col("__s")).struct).withColumn("__e", rotate(conjugate(F.col("__s")), subtract(F.col(f"{ego_at_scan}.t"), F.col(f"{ego_at_image}.t"))).struct)
+    r = rows.withColumn("__r", rotation_matrix(F.col("__q"))).withColumn("__t", rotate(conjugate(F.col("__q")), F.col(f"{camera}.t")).struct)
+    turned = lambda i, j: F.col(f"__c.r0{i}") * F.col(f"__r.r0{j}") + F.col(f"__c.r1{i}") * F.col(f"__r.r1{j}") + F.col(f"__c.r2{i}") * F.col(f"__r.r2{j}")
+    entries = [turned(i, j).alias(f"m{i}{j}") for i in range(3) for j in range(3)] + [F.col(f"__{n}.{c}").alias(f"{m}{i}") for n, m in (("e", "e"), ("t", "c")) for i, c in enumerate("xyz")]
+    return r.withColumn(out, F.struct(*entries)).drop("__s", "__i", "__c", "__q", "__e", "__t", "__r")
 
 
 def moved(matrix: Column, p: Column | Vec) -> Vec:
-    """A point under a matrix m00 to m23."""
-    p = vec(p)
-    return Vec(*(matrix[f"m{i}0"] * p.x + matrix[f"m{i}1"] * p.y + matrix[f"m{i}2"] * p.z + matrix[f"m{i}3"] for i in range(3)))
+    """A point under a motion of ``with_camera_matrix``."""
+    x, y, z = (a + matrix[f"e{i}"] - matrix[f"c{i}"] for i, a in enumerate(vec(p)))
+    return Vec(*(matrix[f"m{i}0"] * x + matrix[f"m{i}1"] * y + matrix[f"m{i}2"] * z for i in range(3)))
 
 
 def pixel(p: Column, k: Column, width: Column, height: Column, min_depth: float = MIN_DEPTH) -> Column:

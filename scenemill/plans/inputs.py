@@ -17,6 +17,12 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded as the SQL does it, from the product with a power of ten; ``F.round`` goes by the shortest decimal, and differs next to halves."""
+    k = F.lit(10.0**digits)
+    return F.round(x * k) / k
+
+
 def image_boxes(spark: SparkSession, folder: str) -> DataFrame:
     """An order is an image and its lines are boxes: image, index, name, score, box."""
     rows = table(spark, folder, "lineitem")
